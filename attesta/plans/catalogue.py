@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import evidence, graphs, libraries, pools, texts  # noqa: F401  they register their queries
+from .registry import ORACLES, QUERIES, Query
 
-def queries() -> dict:
-    return {}
+
+def queries() -> dict[str, Query]:
+    return dict(sorted(QUERIES.items()))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sorted(ORACLES.items()))
