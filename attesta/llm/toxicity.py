@@ -88,10 +88,8 @@ class Scope(Transducer):
         self._trigger, self._over, self._mark, self._reach = trigger, frozenset(over), mark, reach
 
     def arc(self, state, symbol):
-        if symbol.kind == self._trigger:
-            return self._reach, symbol
         out = symbol.marked(self._mark) if state and symbol.kind in self._over else symbol
-        return max(0, state - 1), out
+        return self._reach if symbol.kind == self._trigger else max(0, state - 1), out
 
 
 class Reported(Transducer):
