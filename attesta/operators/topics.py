@@ -151,10 +151,11 @@ def parse_topics_text(pasted: DataFrame) -> DataFrame:
     as_strings = F.when(F.try_parse_json(raw).isNotNull() & raw.startswith("["), F.from_json(raw, "array<string>"))
     in_object = F.from_json(raw, f"struct<topics:array<{_TOPIC}>>")["topics"]
     objects = F.when(raw.startswith("{"), F.coalesce(F.when(F.try_parse_json(raw).isNotNull(), in_object), as_array(wrapped))).when(raw.startswith("["), as_array(raw))
+    # a list of plain strings stands beside as many empty objects
+    objects = F.coalesce(objects, F.transform(as_strings, lambda _: F.lit(None).cast(_TOPIC)))
     rows = pasted.select("list_id", raw.alias("raw"), objects.alias("objects"), as_strings.alias("strings"))
     is_json = F.col("objects").isNotNull()
     fields = [F.col(f"o.{n}").alias(n) for n in ("label", "topic", "name", "query", "term", "q")]
-    # a list of plain strings parses as objects without fields
     json = rows.where(is_json).select("list_id", F.posexplode("objects").alias("pos", "o"), F.col("strings")).select(
         "list_id", "pos", *fields, F.when(~F.get("strings", F.col("pos")).startswith("{"), F.get("strings", F.col("pos"))).alias("text")
     )

@@ -186,8 +186,8 @@ def q51_normalize_topics(spark, sf_dir):
 
 @query(f"""WITH {_TOPICS}, n AS (SELECT ti, count(*) AS raw, count(*) FILTER (id IN (SELECT id FROM skip)) AS sk FROM res GROUP BY ti),
 c AS (SELECT ti, label, least(raw - sk, 10) AS kept, raw - sk AS available, raw >= 40 AS more FROM topics JOIN n USING (ti))
-SELECT 'Searched ' || count(*) || ' topics over the last 3 days — 7 new papers.' || ' Per topic: ' || string_agg(label || ' ' || kept || ' of ' || available || CASE WHEN more THEN '+' ELSE '' END, ', ' ORDER BY ti) FILTER (kept < available OR more)
-  || ' — raise "per topic" in your profile to see more.' AS summary FROM c""")
+SELECT 'Searched ' || count(*) || ' topics over the last 3 days — 7 new papers.' || coalesce(' Per topic: ' || string_agg(label || ' ' || kept || ' of ' || available || CASE WHEN more THEN '+' ELSE '' END, ', ' ORDER BY ti) FILTER (kept < available OR more)
+  || ' — raise "per topic" in your profile to see more.', '') AS summary FROM c""")
 def q54_search_summary(spark, sf_dir):
     return topics.search_summary(topics.topic_counts(*_inputs(spark, sf_dir)), 3, 7)
 
