@@ -63,7 +63,7 @@ def cut_documents(
                         held += len(piece)
                     for column, value in zip(rows, row):
                         column.append(value)
-                if held > 16_000_000:
+                if held > 8_000_000:
                     yield arrow_batch(rows, fields)
                     rows, held = [[] for _ in fields], 0
             yield arrow_batch(rows, fields)

@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 
 from .common import DEFAULT_TOKENIZER, arrow_batch, arrow_schema, grouped_blocks
 from .packing import END_ID, SEQUENCE_TOKENS, cut_documents, with_group
+from .tokens import forget
 
 #: Documents in a group, in the mean.
 GROUP_DOCUMENTS = 2048
 #: What a task holds at once of a group.
-BLOCK_PIECES, BLOCK_BYTES = 16_384, 32_000_000
+BLOCK_PIECES, BLOCK_BYTES = 8_192, 16_000_000
 
 SEQUENCES = (
     "sequence_id long, n_tokens int, n_pieces int, id_bytes int, ids binary, ids_crc32 long, "
@@ -96,6 +97,7 @@ def packed_matrices(
     fields = arrow_schema(SEQUENCES)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for group, block, table in grouped_blocks(batches, "group", BLOCK_PIECES, BLOCK_BYTES):
             lengths, ids, wide, doc_ids, starts = (table.column(c).to_pylist() for c in ("length", "ids", "wide", "doc_id", "start"))
             bins: dict[int, list[tuple[int, int]]] = {}
@@ -112,7 +114,7 @@ def packed_matrices(
                     (group * (1 << 36) + block * (1 << 20) + place, len(row), len(members), row.itemsize, row.tobytes(), zlib.crc32(row.astype("<u4").tobytes()))
                     + ([0, *ends], [0, *ends[:-1]], [doc_ids[i] for i in members], [starts[i] for i in members], room)
                 )
-                if len(rows) == 512:
+                if len(rows) == 256:
                     yield arrow_batch(zip(*rows), fields)
                     rows = []
             if rows:
