@@ -89,9 +89,9 @@ def format_quantity(q: Column) -> Column:
         q["ci_low"].isNotNull() & q["ci_high"].isNotNull(),
         F.concat(F.lit(" (CI "), printed_value(quote, "ci_low", q), F.lit("–"), printed_value(quote, "ci_high", q), F.lit(")")),
     ).otherwise("")
-    operator = p_operator(quote, q["p_value"])
-    p = printed_value(quote, "p_value", q)
-    chance = F.when(q["p_value"].isNull(), F.lit("")).when(operator.isNotNull(), F.concat(F.lit(", P"), operator, p)).otherwise(F.concat(F.lit(", P "), p))
+    # without an operator a space stands before the number
+    operator = F.coalesce(p_operator(quote, q["p_value"]), F.lit(" "))
+    chance = F.when(q["p_value"].isNull(), F.lit("")).otherwise(F.concat(F.lit(", P"), operator, printed_value(quote, "p_value", q)))
     return F.when(q["value"].isNull(), F.lit("")).otherwise(F.concat(printed_value(quote, "value", q), unit, interval, chance))
 
 
@@ -101,14 +101,17 @@ def _finite(x: Column) -> Column:
 
 def p_direction(quote: Column, p: Column) -> Column:
     """significant, not-significant, or null where the printed P value leaves it open."""
-    op = p_operator(quote, p)
-    exact = op.isNull() | (op == "=")
-    return (
-        F.when(op.isin("<", "≤") & (p <= 0.05), F.lit("significant"))
-        .when(op.isin(">", "≥") & (p >= 0.05), F.lit("not-significant"))
-        .when(exact & (p < 0.05), F.lit("significant"))
-        .when(exact & (p > 0.05), F.lit("not-significant"))
-    )
+
+    def direction(op: Column) -> Column:
+        exact = op.isNull() | (op == "=")
+        return (
+            F.when(op.isin("<", "≤") & (p <= 0.05), F.lit("significant"))
+            .when(op.isin(">", "≥") & (p >= 0.05), F.lit("not-significant"))
+            .when(exact & (p < 0.05), F.lit("significant"))
+            .when(exact & (p > 0.05), F.lit("not-significant"))
+        )
+
+    return let(p_operator(quote, p), direction)
 
 
 def plausibility_warnings(q: Column, verified: Column) -> Column:
@@ -125,11 +128,19 @@ def plausibility_warnings(q: Column, verified: Column) -> Column:
     quote = F.coalesce(q["source_quote"], F.lit(""))
     complete = _finite(low) & _finite(high)
     evidence = F.concat_ws(" ", F.coalesce(q["name"], F.lit("")), quote)
-    no_effect = F.when(evidence.rlike(RATIO_MEASURE), F.lit(1)).when(evidence.rlike(DIFFERENCE_MEASURE), F.lit(0))
-    direction = F.when((p >= 0) & (p <= 1), p_direction(quote, p))
-    comparable = complete & (low <= high) & evidence.rlike(CI_95) & no_effect.isNotNull() & direction.isNotNull()
-    excludes, within = (high < no_effect) | (low > no_effect), (low < no_effect) & (high > no_effect)
-    bar = no_effect.cast("string")
+    null_value = F.when(evidence.rlike(RATIO_MEASURE), F.lit(1)).when(evidence.rlike(DIFFERENCE_MEASURE), F.lit(0))
+    comparable = complete & (low <= high) & evidence.rlike(CI_95)
+
+    def incoherent(known: Column) -> Column:
+        no_effect, direction = known["no_effect"], known["direction"]
+        bar = no_effect.cast("string")
+        excludes, within = (high < no_effect) | (low > no_effect), (low < no_effect) & (high > no_effect)
+        return F.coalesce(
+            warn(comparable & excludes & (direction == "not-significant"), "ci-p-incoherence", "the 95% CI excludes the null (", bar, ") while the reported P value is not significant."),
+            warn(comparable & within & (direction == "significant"), "ci-p-incoherence", "the 95% CI contains the null (", bar, ") while the reported P value is significant."),
+        )
+
+    known = F.struct(null_value.alias("no_effect"), F.when((p >= 0) & (p <= 1), p_direction(quote, p)).alias("direction"))
     return F.array_compact(
         F.array(
             warn(p == 0, "zero-p-value", "the reported P value is zero; an exact P value cannot be zero and this is likely rounded or affected by numerical underflow."),
@@ -140,8 +151,7 @@ def plausibility_warnings(q: Column, verified: Column) -> Column:
                 "estimate-outside-confidence-interval", "the point estimate (", shown(value), ") lies outside its reported CI (", shown(low), "–", shown(high), ").",
             ),
             warn(F.coalesce(q["unit"], F.lit("")).rlike(PERCENT_UNIT) & _finite(value) & (value > 100), "percentage-over-100", "the reported percentage is ", shown(value), "%."),
-            warn(comparable & excludes & (direction == "not-significant"), "ci-p-incoherence", "the 95% CI excludes the null (", bar, ") while the reported P value is not significant."),
-            warn(comparable & within & (direction == "significant"), "ci-p-incoherence", "the 95% CI contains the null (", bar, ") while the reported P value is significant."),
+            F.when(comparable, let(known, incoherent)),
         )
     )
 

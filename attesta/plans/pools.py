@@ -200,3 +200,29 @@ def q55_clamps(spark, sf_dir):
     raw = lambda c: F.when(~gone, c.cast("string")).otherwise(F.lit(" "))
     price, size = raw(F.col("p_retailprice") / 10.0), raw(F.col("p_size"))
     return table(spark, sf_dir, "part").select("p_partkey", funnel.score_floor(price).alias("bar"), funnel.pre_read_floor(price).alias("pre"), topics.search_days(size).alias("days"))
+
+
+@query()
+def q70_digest_run(spark, sf_dir):
+    """A whole run over documents: their sources are the topics, stand-ins are the models. Extraction and
+    takes are no SQL; the tests hold runs against worked examples."""
+    from .. import schemas
+    from ..operators import runs
+
+    documents = table(spark, sf_dir, "documents").where("lang = 'en'")
+    id = F.col("doc_id").cast("string")
+    none = lambda t: F.lit(None).cast(t)
+    number = F.substring("source", 4, 9).cast("int")
+    results = documents.select(number.alias("topic_idx"), F.col("source").alias("label"), F.col("doc_id").alias("pos"), id.alias("id"), F.lit(40).alias("asked"), none("string").alias("error"))
+    heads = documents.select(number.alias("topic_idx"), F.col("source").alias("label"), F.lit(40).alias("asked"), none("string").alias("error")).distinct()
+    seen = documents.where("doc_id % 10 = 0").select(id.alias("id"), F.lit("2024-01-01").alias("first_seen"))
+    cited = documents.select(
+        id.alias("pmid"), none("string").alias("url"), none("string").alias("author"), F.lit("2024").alias("year"), F.col("source").alias("journal"), F.substring("text", 1, 60).alias("title"),
+        none("string").alias("doi"), none("array<string>").alias("pubtypes"), (F.col("doc_id") % 7 == 0).alias("retracted"), F.lit(True).alias("verified"),
+    )
+    registry = none(schemas.CLAIM.rpartition("registry ")[2])
+    sources = documents.select(id.alias("id"), "text", F.lit("").alias("tables"), F.lit("full_text").alias("tier"), registry.alias("registry"))
+    inputs = runs.Inputs(results, heads, seen, spark.createDataFrame([], "pmid string, id string"), cited, sources)
+    settings = runs.Settings(criteria="the and that with from", now="2024-02-01", floor=60, count=25)
+    done = runs.run_digest(inputs, settings)
+    return done.shown.select("id", F.col("place").cast("long").alias("place"))
