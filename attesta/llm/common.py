@@ -1,37 +1,19 @@
-"""What the training-data operators share: scratch tables and Arrow helpers."""
+"""What the training-data operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialize, scratch_dir  # noqa: F401  for the operators here
+
 #: The tokenizer that the packing operators use unless told otherwise.
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is named (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="attesta-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage ends here, and a lost
-    executor costs no more than a re-read. The planner then also knows the table's real size, so
-    that later joins broadcast it only if it is below spark.sql.autoBroadcastJoinThreshold."""
-    path = f"{scratch_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def documents_of(df: DataFrame, *more: str) -> DataFrame:
     """doc_id as long, text as string, and the columns named; whatever else df has stays out, so
     that no extra column can clash with one that an operator makes."""

@@ -120,7 +120,10 @@ def packed_matrices(
             if rows:
                 yield arrow_batch(zip(*rows), fields)
 
-    return pieces.repartition("group").sortWithinPartitions("group", F.desc("length"), "doc_id", "start", "ids_crc32").mapInArrow(pack, SEQUENCES)
+    # no task with more than some 32 groups; below that the session's own number, which may be merged at run time
+    usual = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = [math.ceil(groups / 32)] if groups > 32 * usual else []
+    return pieces.repartition(*most, "group").sortWithinPartitions("group", F.desc("length"), "doc_id", "start", "ids_crc32").mapInArrow(pack, SEQUENCES)
 
 
 def write_matrices(documents: DataFrame, path: str, **options) -> None:
