@@ -14,14 +14,14 @@ from .registry import query, table
 from .texts import NORMAL, tokens_sql
 
 _CLAIMS = f"""c AS (SELECT doc_id, tok, CAST(tok[1] AS DOUBLE) AS v0, CASE WHEN doc_id % 3 = 0 THEN CAST(tok[1] AS DOUBLE) + 0.1 ELSE CAST(tok[1] AS DOUBLE) END AS v
-  FROM (SELECT doc_id, list_filter({tokens_sql(NORMAL)}, lambda x: length(x) < 16) AS tok FROM documents) WHERE len(tok) > 0)"""
+  FROM (SELECT doc_id, {tokens_sql(NORMAL)} AS tok FROM documents) WHERE len(tok) > 0)"""
 
 
 def _claims(spark, sf_dir) -> DataFrame:
     """For each document with numbers a claim of the first, in one of three off by 0.1; the quote is the
     whole text."""
     documents = table(spark, sf_dir, "documents").withColumn("t", X.normalize(F.col("text")))
-    tokens = F.filter(X.number_strings(F.col("t")), lambda x: F.length(x) < 16)
+    tokens = X.number_strings(F.col("t"))
     value = F.get(tokens, F.lit(0)).cast("double") + F.when(F.col("doc_id") % 3 == 0, 0.1).otherwise(0.0)
     none = lambda t: F.lit(None).cast(t)
     quantity = F.struct(
@@ -40,11 +40,11 @@ def q09_verify(spark, sf_dir):
     return verify.verify(_claims(spark, sf_dir)).select("claim_id", F.col("verdict.tier").alias("tier"), F.col("verdict.consistent").alias("consistent"))
 
 
-@query(f"""WITH {_CLAIMS}, ok AS (SELECT * FROM c WHERE doc_id % 3 <> 0)
-SELECT doc_id AS claim_id, list_filter(list_transform(range(1, 51), lambda k: round(v + k * 0.1, 6)), lambda x: len(list_filter(tok, lambda n: abs(CAST(n AS DOUBLE) - x) <= 1e-9 * greatest(1, abs(x), abs(CAST(n AS DOUBLE))))) = 0)[1] AS value, 'flagged' AS tier FROM ok""")
+@query(f"""WITH {_CLAIMS}, ok AS (SELECT * FROM c WHERE len(list_filter(tok, lambda x: abs(CAST(x AS DOUBLE) - v) <= 1e-9 * greatest(1, abs(v), abs(CAST(x AS DOUBLE))))) > 0)
+SELECT doc_id AS claim_id, coalesce(list_filter(list_transform(range(1, 51), lambda k: round(v + k * 0.1, 6)), lambda x: len(list_filter(tok, lambda n: abs(CAST(n AS DOUBLE) - x) <= 1e-9 * greatest(1, abs(x), abs(CAST(n AS DOUBLE))))) = 0)[1], round(v * 1.7 + 0.13, 6)) AS value, 'flagged' AS tier FROM ok""")
 def q10_corrupt(spark, sf_dir):
     """What passed, with a value that isn't there: every one must be flagged."""
-    passed = verify.verify(_claims(spark, sf_dir).where("claim_id % 3 <> 0"))
+    passed = verify.verify(_claims(spark, sf_dir))
     again = verify.corrupt_and_reverify(passed)
     return again.select("claim_id", F.col("quantity.value").alias("value"), F.col("verdict.tier").alias("tier"))
 

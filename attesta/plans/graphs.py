@@ -10,16 +10,15 @@ from ..operators import categories, domains, graph
 from .registry import query, table
 from .texts import stems_sql
 
-_TEXTS = "SELECT doc_id, substring(text, 1, 80) AS text FROM documents"
-_PAIRS = f"""WITH t AS ({_TEXTS}), a AS (SELECT * FROM {stems_sql("text", "(SELECT item_id, substring(text, 1, 60) AS text FROM benchmark)", "item_id")}), c AS (SELECT * FROM {stems_sql("text", "t", "doc_id")}),
+_PAIRS = f"""WITH a AS (SELECT * FROM {stems_sql("text", "benchmark", "item_id")}), c AS (SELECT * FROM {stems_sql("text", "documents", "doc_id")}),
 n AS (SELECT item_id, count(*) AS n FROM a GROUP BY item_id),
 p AS (SELECT a.item_id, c.doc_id, count(*) AS score, string_agg(a.word, ',' ORDER BY a.pos) AS words FROM a JOIN c USING (stem) GROUP BY 1, 2),
 m AS (SELECT item_id, doc_id, score, words FROM p JOIN n USING (item_id) WHERE score >= CASE WHEN n = 1 THEN 1 ELSE 2 END)"""
 
 
 def _matches(spark, sf_dir) -> DataFrame:
-    anchors = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.substring("text", 1, 60).alias("text"))
-    concepts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 80).alias("text"))
+    anchors = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    concepts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     return graph.anchor_matches(anchors, concepts).select(F.col("anchor_id").alias("item_id"), F.col("concept_id").alias("doc_id"), "score", F.array_join("words", ",").alias("words"))
 
 
@@ -36,15 +35,15 @@ def q21_keyword_cap(spark, sf_dir):
     return _matches(spark, sf_dir).withColumn("r", rank).where(F.col("r") <= graph.KEYWORD_CAP).select("item_id", "doc_id", "score")
 
 
-_DAYS = "SELECT DISTINCT 'u' || user_id AS u, 'd' || date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) || event_type AS anchor FROM events WHERE ts < TIMESTAMP '2024-01-03' AND event_type IN ('signup', 'purchase') AND user_id < 60"
+_DAYS = "SELECT DISTINCT 'u' || user_id AS u, strftime(ts, '%Y-%m-%d %H') || event_type AS anchor FROM events"
 _LINKS = f"""t AS ({_DAYS}), pr AS (SELECT a.u AS x, b.u AS y FROM t a JOIN t b ON a.anchor = b.anchor AND a.u < b.u), e AS (SELECT x || '~~' || y AS id, count(*) AS n FROM pr GROUP BY 1)"""
 
 
 def _edges(spark, sf_dir) -> DataFrame:
-    """id, source, target, n: users who did the same on the same day, as the tie pass pairs them."""
-    events = table(spark, sf_dir, "events").where("ts < '2024-01-03' AND event_type IN ('signup', 'purchase') AND user_id < 60")
-    day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
-    t = events.select(F.concat(F.lit("u"), "user_id").alias("source"), F.concat(F.lit("d"), day, "event_type").alias("anchor")).distinct()
+    """id, source, target, n: users who did the same in the same hour, as the tie pass pairs them."""
+    events = table(spark, sf_dir, "events")
+    anchor = F.concat(F.date_format("ts", "yyyy-MM-dd HH"), "event_type")
+    t = events.select(F.concat(F.lit("u"), "user_id").alias("source"), anchor.alias("anchor")).distinct()
     pairs = graph._pairs(t.withColumn("at", F.col("source")), ["anchor"], "at")
     return pairs.groupBy(X.edge_id(F.col("m"), F.col("o")).alias("id"), F.col("m").alias("source"), F.col("o").alias("target")).agg(F.count("*").alias("n"))
 
@@ -107,23 +106,23 @@ def q30_sparse_domains(spark, sf_dir):
     return domains.sparse_domains(known, counts, pinned).select("key", "papers")
 
 
-@query("""WITH p AS (SELECT c_custkey AS pos, 'd' || (c_custkey * 7 % 60) AS f, 'd' || (c_custkey * 3 % 90) AS i FROM customer WHERE c_custkey < 120),
+@query("""WITH p AS (SELECT c_custkey AS pos, 'd' || (c_custkey * 7 % 60) AS f, 'd' || (c_custkey * 3 % 90) AS i FROM customer),
 k AS (SELECT 'd' || range AS key, range AS n FROM range(70))
 SELECT pos, f AS "from", i AS into FROM (SELECT *, row_number() OVER (PARTITION BY f ORDER BY pos) AS r FROM p
   WHERE f <> i AND f IN (SELECT key FROM k WHERE n % 2 = 0 AND n % 6 <> 0) AND i IN (SELECT key FROM k) AND i NOT IN (SELECT f FROM p)) WHERE r = 1""")
 def q31_pick_merges(spark, sf_dir):
     d = lambda x: F.concat(F.lit("d"), x)
     k = F.col("c_custkey")
-    proposed = table(spark, sf_dir, "customer").where("c_custkey < 120").select(k.alias("pos"), d(k * 7 % 60).alias("from"), d(k * 3 % 90).alias("into"))
+    proposed = table(spark, sf_dir, "customer").select(k.alias("pos"), d(k * 7 % 60).alias("from"), d(k * 3 % 90).alias("into"))
     keys = spark.range(70).select("id", d(F.col("id")).alias("key"))
     return domains.pick_merges(proposed, keys.where("id % 2 = 0"), keys, keys.where("id % 6 = 0"))
 
 
-@query("""WITH g AS (SELECT source AS key, count(*) AS size, CAST(substring(source, 4) AS INTEGER) AS idx FROM documents WHERE lang = 'en' GROUP BY source),
+@query("""WITH g AS (SELECT source AS key, count(*) AS size, CAST(substring(source, 4) AS INTEGER) AS idx FROM documents GROUP BY source),
 t AS (SELECT * FROM g ORDER BY size DESC, idx LIMIT 9)
 SELECT key, size FROM t UNION ALL SELECT 'Other', CAST(sum(size) AS BIGINT) FROM g WHERE key NOT IN (SELECT key FROM t)""")
 def q32_cap_categories(spark, sf_dir):
-    g = table(spark, sf_dir, "documents").where("lang = 'en'").groupBy(F.col("source").alias("key")).agg(F.count("*").alias("size")).withColumn("idx", F.substring("key", 4, 9).cast("int"))
+    g = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("key")).agg(F.count("*").alias("size")).withColumn("idx", F.substring("key", 4, 9).cast("int"))
     kept = categories.cap_categories(g)
     rest = g.join(kept.select("key"), "key", "left_anti").agg(F.sum("size").alias("size")).select(F.lit("Other").alias("key"), "size")
     return kept.select("key", "size").unionByName(rest)
@@ -135,14 +134,14 @@ def q33_first_assignment(spark, sf_dir):
     return categories.first_assignment(rows)
 
 
-_PLAN = """con AS (SELECT 'concept:c' || c_custkey AS id, FALSE AS hub, c_custkey AS pos, c_nationkey AS nat FROM customer WHERE c_custkey < 300),
+_PLAN = """con AS (SELECT 'concept:c' || c_custkey AS id, FALSE AS hub, c_custkey AS pos, c_nationkey AS nat FROM customer),
 hubs AS (SELECT 'concept:nation-' || n_nationkey AS id, n_nationkey AS nat FROM nation WHERE n_nationkey % 2 = 0)"""
 
 
 def _shelving(spark, sf_dir):
     """Customers as concepts, every second nation a hub already; the proposal shelves by nation, with a
     customer of a number divisible by five also proposed for the nation after."""
-    customer = table(spark, sf_dir, "customer").where("c_custkey < 300")
+    customer = table(spark, sf_dir, "customer")
     k, nat = F.col("c_custkey"), F.col("c_nationkey")
     label = lambda n: F.concat(F.lit("NATION "), n)
     own = customer.select(F.concat(F.lit("concept:c"), k).alias("id"), F.concat(F.lit("c"), k).alias("label"), F.lit(False).alias("isHub"), k.alias("pos"))
@@ -190,11 +189,11 @@ def q35_gates(spark, sf_dir):
     return categories.gates(concepts, edges)
 
 
-@query("""WITH n AS (SELECT 'concept:' || lower(replace(p_type, ' ', '-')) AS id, p_type AS label, string_agg(DISTINCT CAST(p_partkey AS VARCHAR), ',' ORDER BY CAST(p_partkey AS VARCHAR)) AS pmids FROM part WHERE p_partkey < 60 GROUP BY 1, 2)
+@query("""WITH n AS (SELECT 'concept:' || lower(replace(p_type, ' ', '-')) AS id, p_type AS label, string_agg(DISTINCT CAST(p_partkey AS VARCHAR), ',' ORDER BY CAST(p_partkey AS VARCHAR)) AS pmids FROM part GROUP BY 1, 2)
 SELECT id, label, pmids FROM n""")
 def q56_upsert_concepts(spark, sf_dir):
     """Half of a concept's sources are there already, the other half comes in."""
-    part = table(spark, sf_dir, "part").where("p_partkey < 60")
+    part = table(spark, sf_dir, "part")
     none = F.lit(None).cast("string")
     k = F.col("p_partkey").cast("string")
     old = part.groupBy(X.concept_id(F.col("p_type")).alias("id"), F.col("p_type").alias("label")).agg(F.collect_set(F.when(F.col("p_partkey") % 2 == 0, k)).alias("sourcePmids"))
@@ -207,14 +206,18 @@ def q56_upsert_concepts(spark, sf_dir):
 
 @query()
 def q57_structural_suggestions(spark, sf_dir):
-    """All four passes over documents' first lines; later passes depend on what earlier ones took, which
-    the tests hold against plain Python."""
-    documents = table(spark, sf_dir, "documents").where("lang = 'en'")
-    text = F.get(F.split("text", "\n"), F.lit(0))
+    """All four passes over documents as concepts and passages as anchors; later passes depend on what
+    earlier ones took, which the tests hold against plain Python."""
+    documents = table(spark, sf_dir, "documents")
     none, no_tags = F.lit(None).cast("string"), F.array().cast("array<string>")
-    tags = F.array(F.concat("source", F.lit("/"), F.col("n_chars") % 50))
-    content = documents.select(F.concat(F.lit("d"), "doc_id").alias("id"), F.lit("concept").alias("kind"), F.substring(text, 1, 40).alias("label"), F.substring(text, 1, 200).alias("text"), none.alias("desc"), tags.alias("tags"), F.col("doc_id").alias("pos"))
-    anchors = table(spark, sf_dir, "benchmark").where("item_id < 20").select(F.concat(F.lit("a"), "item_id").alias("id"), F.lit("project").alias("kind"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("label"), none.alias("text"), none.alias("desc"), no_tags.alias("tags"), (F.col("item_id") - 1000).alias("pos"))
+    tags = F.array(F.concat("source", F.lit("/"), "n_chars"))
+    content = documents.select(
+        F.concat(F.lit("d"), "doc_id").alias("id"), F.lit("concept").alias("kind"), F.get(F.split("text", "\n"), F.lit(0)).alias("label"), "text", none.alias("desc"), tags.alias("tags"), F.col("doc_id").alias("pos")
+    )
+    label = F.array_join(F.slice(F.split("text", " "), 1, 4), " ")
+    anchors = table(spark, sf_dir, "benchmark").select(
+        F.concat(F.lit("a"), "item_id").alias("id"), F.lit("project").alias("kind"), label.alias("label"), none.alias("text"), none.alias("desc"), no_tags.alias("tags"), (F.col("item_id") - (1 << 40)).alias("pos")
+    )
     edges = spark.createDataFrame([], "id string, source string, target string, origin string, pos long")
     out = graph.structural_suggestions(content.unionByName(anchors), edges)
     return out.select("pass", "seq", "source", "target", "origin", "rationale")

@@ -154,13 +154,13 @@ def q60_memo_notes(spark, sf_dir):
     return memos.select("o_orderkey", render.memo_file(F.col("createdAt")).alias("path"), F.md5(render.memo_note().cast("binary")).alias("digest"))
 
 
-@query("""WITH t AS (SELECT o_orderkey AS pos, [CAST(o_custkey AS VARCHAR), CAST(o_custkey + 1 AS VARCHAR), 'x', CAST(o_custkey AS VARCHAR)] AS p FROM orders WHERE o_orderkey < 500),
+@query("""WITH t AS (SELECT o_orderkey AS pos, [CAST(o_custkey AS VARCHAR), CAST(o_custkey + 1 AS VARCHAR), 'x', CAST(o_custkey AS VARCHAR)] AS p FROM orders),
 u AS (SELECT pos, unnest(p[1:3]) AS pmid, unnest([0, 1, 2]) AS nr FROM t), k AS (SELECT CAST(c_custkey AS VARCHAR) AS pmid, c_custkey % 4 = 0 AS f FROM customer)
 SELECT pos, string_agg(pmid, ',' ORDER BY nr) AS pmids FROM u JOIN k USING (pmid) GROUP BY pos HAVING bool_or(f)""")
 def q61_weekend_threads(spark, sf_dir):
     k = F.col("o_custkey")
     cited = F.array(k.cast("string"), (k + 1).cast("string"), F.lit("x"), k.cast("string"))
-    threads = table(spark, sf_dir, "orders").where("o_orderkey < 500").select(F.col("o_orderkey").alias("pos"), F.lit("a").alias("anchor"), cited.alias("pmids"), F.lit("").alias("narrative"))
+    threads = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pos"), F.lit("a").alias("anchor"), cited.alias("pmids"), F.lit("").alias("narrative"))
     known = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("pmid"), (F.col("c_custkey") % 4 == 0).alias("f"))
     return library.weekend_threads(threads, known.where("f"), known.where("NOT f")).select("pos", F.array_join("pmids", ",").alias("pmids"))
 

@@ -134,3 +134,20 @@ def test_checks_are_attached(spark):
     rankings = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
     verdicts = spark.createDataFrame([("a", 1, False, "no"), ("a", 2, True, ""), ("b", 1, False, "why"), ("x", 1, True, "")], "id string, seq int, supported boolean, reason string")
     assert {r.id: tuple(r.check) for r in guard.attach_checks(rankings, verdicts).collect()} == {"a": ("supported", ""), "b": ("refuted", "why"), "c": ("unchecked", "")}
+
+
+def test_stripping_as_python_does(spark):
+    import random
+    import re
+
+    pattern = re.compile(r"[<>≤≥=~≈]?(?<![a-z0-9.])(?<![a-z][-‐–—])[-−]?(?:[0-9]+(?:[.,·][0-9]+)*|\.[0-9]+)%?[-‐–—−]?", re.I)
+
+    def plain(text):
+        out = re.sub(r"\(\s*\)", " ", pattern.sub(" ", text))
+        return re.sub(r"\s+", " ", re.sub(r"\s+([,.;:)\]])", r"\1", out)).strip()
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["12", "3.5", "-", " ", "SF", "a", "(", ")", "<", "%", ",", ".", "–", "=", "90"]) for _ in range(rng.randint(0, 14))) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i")
+    got = [r.s for r in df.select(guard.strip_numbers(F.col("t")).alias("s")).collect()]
+    assert got == list(map(plain, texts))
