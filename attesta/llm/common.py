@@ -38,6 +38,13 @@ def crc_mod(column: str, n: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches cut small, so that no more than some rows' texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def grouped_blocks(batches: Iterator[pa.RecordBatch], key: str, max_rows: int, max_bytes: int = 64_000_000) -> Iterator[tuple[object, int, pa.Table]]:
     """From batches whose rows of a key stand side by side: (key, number of the block in its key,
     rows). A key's rows are given in blocks within both limits (but of one row at least), so what a

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, arrow_schema, documents_of, materialize
+from .common import arrow_batch, arrow_schema, documents_of, materialize, parts
 from .line_dedup import row_hash
 
 #: An item's window, in words.
@@ -146,7 +146,7 @@ def _scan(documents: DataFrame, index: BenchmarkIndex) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
-        for batch in batches:
+        for batch in parts(batches):
             rows = []
             for doc_id, text, row in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 words = words_of(text)
@@ -187,7 +187,7 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, block_bytes: i
         sent = documents.sparkSession.sparkContext.broadcast(index)
 
         def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in parts(batches):
                 yield batch.filter(pa.array([not sent.value.find(words_of(t))[0] for t in batch.column(text_at).to_pylist()], pa.bool_()))
 
         documents = documents.mapInArrow(keep, schema)

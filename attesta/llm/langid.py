@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, arrow_schema, crc_mod, documents_of
+from .common import arrow_batch, arrow_schema, crc_mod, documents_of, parts
 
 #: Unknown: null, or without letters.
 UNDETERMINED = "und"
@@ -31,7 +31,9 @@ EMBEDDING, HIDDEN, STEPS, BATCH, RATE, SEED = 12, 16, 260, 512, 0.02, 7
 #: Below this probability a document counts as rejected by the filter.
 LEAST_SCORE = 0.3
 #: Runs whose labels a worker remembers.
-CACHE_RUNS = 1_000_000
+CACHE_RUNS = 500_000
+#: Runs of one length that go through the network together.
+RUNS_AT_ONCE = 1024
 
 
 def stretches(run: bytes) -> list[bytes]:
@@ -120,14 +122,14 @@ class ByteGru:
 
     def label_runs(self, runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """For each run: the sum of its positions' probabilities, and how many positions."""
-        parts = [(i, s) for i, run in enumerate(runs) for s in stretches(run)]
+        pieces = [(i, s) for i, run in enumerate(runs) for s in stretches(run)]
         sums = np.zeros((len(runs), len(self.languages)), np.float32)
         by_length: dict[int, list[tuple[int, bytes]]] = {}
-        for i, s in parts:
+        for i, s in pieces:
             by_length.setdefault(len(s), []).append((i, s))
         for length, same in by_length.items():
-            for at in range(0, len(same), 8192):
-                some = same[at : at + 8192]
+            for at in range(0, len(same), RUNS_AT_ONCE):
+                some = same[at : at + RUNS_AT_ONCE]
                 codes = np.frombuffer(b"".join(s for _, s in some), np.uint8).reshape(-1, length).T
                 p = self.positions(codes, np.ones(codes.shape, np.float32))
                 np.add.at(sums, [i for i, _ in some], p.sum(axis=0))
@@ -247,10 +249,8 @@ def _labeller(key: str, net: ByteGru) -> Labeller:
 
 def _labelled(batches: Iterator[pa.RecordBatch], text_at: int, key: str, net: ByteGru) -> Iterator[tuple[pa.RecordBatch, list[tuple[str, float]]]]:
     labeller = _labeller(key, net)
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1024):
-            part = batch.slice(at, 1024)
-            yield part, list(labeller.pooled(part.column(text_at).to_pylist()))
+    for part in parts(batches):
+        yield part, list(labeller.pooled(part.column(text_at).to_pylist()))
 
 
 def _network(documents: DataFrame, net: ByteGru | None) -> tuple[str, ByteGru]:

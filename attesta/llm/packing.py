@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import DEFAULT_TOKENIZER, arrow_batch, arrow_schema, documents_of, grouped_blocks, materialize
+from .common import DEFAULT_TOKENIZER, arrow_batch, arrow_schema, documents_of, grouped_blocks, materialize, parts
 from .tokens import tokenizer_path, word_encoder
 
 SEQUENCE_TOKENS = 4096
@@ -46,7 +46,7 @@ def cut_documents(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = word_encoder(path), np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
+        for batch in parts(batches, 1024):
             rows = [[] for _ in fields]
             texts = [t or "" for t in batch.column(1).to_pylist()]
             held = 0

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, arrow_schema, crc_mod, documents_of
+from .common import arrow_batch, arrow_schema, crc_mod, documents_of, parts
 
 FOLDS, HELD_OUT = 5, 0
 #: The bounded sample of labelled documents that is learned from.
@@ -314,7 +314,7 @@ def score_toxicity(documents: DataFrame, labels: DataFrame | None = None, model:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        for batch in batches:
+        for batch in parts(batches):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 s = model.score(text)
