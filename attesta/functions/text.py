@@ -214,14 +214,16 @@ def significant_tokens(c: Column) -> Column:
     cleaned = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "\\([^)]*\\)", " "), "[^a-z0-9]+", " ")
     words = F.filter(F.split(cleaned, " "), lambda w: (F.length(w) >= 3) & ~w.rlike("^[0-9]+$"))
     stemmed = F.transform(words, lambda w: F.struct(stem(w).alias("stem"), w.alias("word")))
-    stops = F.array(*map(F.lit, sorted({_stem(w) for w in STOPWORDS})))
-    telling = F.filter(stemmed, lambda s: ~F.array_contains(stops, s["stem"]))
+    stops = sorted({_stem(w) for w in STOPWORDS})
+    telling = F.filter(stemmed, lambda s: ~s["stem"].isin(stops))
 
-    def first_of_each(found: Column) -> Column:
-        stems = F.transform(found, lambda s: s["stem"])
-        return let(stems, lambda all_stems: F.filter(found, lambda s, i: F.array_position(all_stems, s["stem"]) == i + 1))
+    def firsts(found: Column) -> Column:
+        placed = F.array_sort(F.transform(found, lambda s, i: F.struct(s["stem"].alias("stem"), i.alias("at"), s["word"].alias("word"))))
+        heads = let(placed, lambda p: F.filter(p, lambda x, i: ~F.coalesce(F.get(p, i - 1)["stem"] == x["stem"], F.lit(False))))
+        in_order = F.array_sort(F.transform(heads, lambda x: F.struct(x["at"].alias("at"), x["stem"].alias("stem"), x["word"].alias("word"))))
+        return F.transform(in_order, lambda x: F.struct(x["stem"].alias("stem"), x["word"].alias("word")))
 
-    return let(telling, first_of_each)
+    return let(telling, firsts)
 
 
 def core_phrase(label: Column) -> Column:

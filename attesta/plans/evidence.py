@@ -41,12 +41,12 @@ def q09_verify(spark, sf_dir):
 
 
 @query(f"""WITH {_CLAIMS}, ok AS (SELECT * FROM c WHERE len(list_filter(tok, lambda x: abs(CAST(x AS DOUBLE) - v) <= 1e-9 * greatest(1, abs(v), abs(CAST(x AS DOUBLE))))) > 0)
-SELECT doc_id AS claim_id, coalesce(list_filter(list_transform(range(1, 51), lambda k: round(v + k * 0.1, 6)), lambda x: len(list_filter(tok, lambda n: abs(CAST(n AS DOUBLE) - x) <= 1e-9 * greatest(1, abs(x), abs(CAST(n AS DOUBLE))))) = 0)[1], round(v * 1.7 + 0.13, 6)) AS value, 'flagged' AS tier FROM ok""")
+SELECT doc_id AS claim_id, coalesce(list_filter(list_transform(range(1, 51), lambda k: round(v + k * 0.1, 6)), lambda x: len(list_filter(tok, lambda n: abs(CAST(n AS DOUBLE) - x) <= 1e-9 * greatest(1, abs(x), abs(CAST(n AS DOUBLE))))) = 0)[1], round(v * 1.7 + 0.13, 6))::REAL AS value, 'flagged' AS tier FROM ok""")
 def q10_corrupt(spark, sf_dir):
     """What passed, with a value that isn't there: every one must be flagged."""
     passed = verify.verify(_claims(spark, sf_dir))
     again = verify.corrupt_and_reverify(passed)
-    return again.select("claim_id", F.col("quantity.value").alias("value"), F.col("verdict.tier").alias("tier"))
+    return again.select("claim_id", F.col("quantity.value").cast("float").alias("value"), F.col("verdict.tier").alias("tier"))
 
 
 @query("""SELECT p_partkey, array_to_string(list_filter([

@@ -36,25 +36,36 @@ def q06_normalized(spark, sf_dir):
     return rows.select("doc_id", F.length("t").cast("long").alias("n"), F.md5(F.col("t").cast("binary")).alias("digest"))
 
 
+#: Letters and digits in a block of a text.
+BLOCK = 24
+MOST_SHORT = 10_000
 _B = "SELECT item_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS q FROM benchmark"
 
 
 @query(f"""WITH b AS ({_B}), d AS (SELECT doc_id, {NORMAL} AS t FROM documents)
 SELECT doc_id, item_id, strpos(t, q) - 1 AS at, length(q) AS len FROM d JOIN b ON contains(t, q)""")
 def q07_locate_exact(spark, sf_dir):
-    """Passages in documents: the benchmark is a fixed set, so its side is broadcast once its size is
-    known to be small, and every text is normalized once."""
     found = _located(spark, sf_dir).where(F.col("m.found") & ~F.col("m.fuzzy"))
     return found.select("doc_id", "item_id", F.col("m.index").cast("long").alias("at"), F.col("m.length").cast("long").alias("len"))
 
 
 def _located(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").select("item_id", X.normalize(F.col("text")).alias("q"))
-    if b.count() > 100_000:
-        raise ValueError("too many passages to try on every text")
-    d = _normal(spark, sf_dir).withColumn("bare", X.alnum(F.col("t")))
-    pairs = d.join(F.broadcast(b.withColumn("bare_q", X.alnum(F.col("q")))), F.contains("bare", "bare_q"))
-    return pairs.select("doc_id", "item_id", X.locate(F.col("q"), F.col("t")).alias("m"))
+    """Passages and the documents that have their letters and digits. A text is cut into blocks; a passage
+    of two blocks' length that it has covers one of them whole, so blocks are joined with the passages'
+    windows, and only those pairs, and shorter passages, are compared."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", X.normalize(F.col("text")).alias("q")).withColumn("bare_q", X.alnum(F.col("q")))
+    d = table(spark, sf_dir, "documents").select("doc_id", X.normalize(F.col("text")).alias("t")).withColumn("bare", X.alnum(F.col("t")))
+    long = F.length("bare_q") >= 2 * BLOCK - 1
+    starts = F.sequence(F.lit(1), F.length("bare_q") - BLOCK + 1)
+    windows = b.where(long).select("item_id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("bare_q"), i, F.lit(BLOCK))))).alias("block"))
+    blocks = d.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("bare", F.lit(f"[a-z0-9]{{{BLOCK}}}"), F.lit(0)))).alias("block"))
+    pairs = blocks.join(windows, "block").select("doc_id", "item_id").distinct()
+    met = d.join(pairs, "doc_id").join(b, "item_id")
+    short = b.where(~long)
+    if short.limit(MOST_SHORT + 1).count() > MOST_SHORT:
+        raise ValueError("too many short passages to try on every text")
+    met = met.select("doc_id", "item_id", "q", "t", "bare", "bare_q").unionByName(d.join(F.broadcast(short), F.contains("bare", "bare_q")).select("doc_id", "item_id", "q", "t", "bare", "bare_q"))
+    return met.where(F.contains("bare", "bare_q")).select("doc_id", "item_id", X.locate(F.col("q"), F.col("t")).alias("m"))
 
 
 @query(f"""WITH b AS ({_B}), d AS (SELECT doc_id, {NORMAL} AS t FROM documents),
