@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,6 +38,20 @@ def crc_mod(column: str, n: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
+#: What a worker process remembers between tasks, by owner, and how to drop it.
+_REMEMBERED: dict[str, Callable[[], None]] = {}
+
+
+def remember(owner: str, forget: Callable[[], None]) -> None:
+    _REMEMBERED[owner] = forget
+
+
+def forget_others(owner: str = "") -> None:
+    """Drop what other operators' steps have left in this worker's memory; they can work it out again."""
+    for other in [o for o in _REMEMBERED if o != owner]:
+        _REMEMBERED.pop(other)()
+
+
 def parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The batches cut small, so that no more than some rows' texts are Python objects at a time."""
     for batch in batches:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, arrow_schema, documents_of, materialize, parts
+from .common import arrow_batch, arrow_schema, documents_of, forget_others, materialize, parts
 from .line_dedup import row_hash
 
 #: An item's window, in words.
@@ -187,6 +187,7 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, block_bytes: i
         sent = documents.sparkSession.sparkContext.broadcast(index)
 
         def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            forget_others()
             for batch in parts(batches):
                 yield batch.filter(pa.array([not sent.value.find(words_of(t))[0] for t in batch.column(text_at).to_pylist()], pa.bool_()))
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, arrow_schema, crc_mod, documents_of, parts
+from .common import arrow_batch, arrow_schema, crc_mod, documents_of, forget_others, parts, remember
 
 #: Unknown: null, or without letters.
 UNDETERMINED = "und"
@@ -241,9 +241,11 @@ _labellers: dict[str, Labeller] = {}
 
 def _labeller(key: str, net: ByteGru) -> Labeller:
     """One per worker process and network; only the last one is kept."""
+    forget_others("langid")
     if key not in _labellers:
         _labellers.clear()
         _labellers[key] = Labeller(net)
+    remember("langid", _labellers.clear)
     return _labellers[key]
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, arrow_schema, documents_of, materialize, parts
+from .common import arrow_batch, arrow_schema, documents_of, forget_others, materialize, parts
 
 #: Keys of fewer code points are never dropped.
 MIN_KEY_CHARS = 40
@@ -46,6 +46,7 @@ def _hashed_lines(documents: DataFrame, min_chars: int) -> DataFrame:
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
+        forget_others()
         for batch in parts(batches):
             ids, rows, digests, positions = [], [], [], []
             for doc_id, text, row in zip(*(batch.column(i).to_pylist() for i in range(3))):

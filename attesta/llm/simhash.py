@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, documents_of, materialize, parts
+from .common import arrow_schema, documents_of, forget_others, materialize, parts
 
 #: Words in a shingle, the hash's seed, and the bits that linked fingerprints may differ in.
 SHINGLE_WORDS = 3
@@ -66,6 +66,7 @@ def fingerprints(documents: DataFrame, *more: str) -> DataFrame:
     fields = arrow_schema("doc_id long, fp long")
 
     def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         for batch in parts(batches):
             found = [_signed(fingerprint_of(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], schema=fields)
@@ -263,6 +264,7 @@ def drop_near_duplicates(documents: DataFrame, distance: int = DISTANCE) -> Data
     text_at, fields = documents.columns.index("text"), documents.schema
 
     def with_print(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         for batch in parts(batches):
             found = pa.array([_signed(fingerprint_of(t)) for t in batch.column(text_at).to_pylist()], pa.int64())
             yield batch.append_column("__fp", found)

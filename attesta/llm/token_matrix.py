@@ -16,9 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import DEFAULT_TOKENIZER, arrow_batch, arrow_schema, grouped_blocks
+from .common import DEFAULT_TOKENIZER, arrow_batch, arrow_schema, forget_others, grouped_blocks
 from .packing import END_ID, SEQUENCE_TOKENS, cut_documents, with_group
-from .tokens import forget
 
 #: Documents in a group, in the mean.
 GROUP_DOCUMENTS = 2048
@@ -97,7 +96,7 @@ def packed_matrices(
     fields = arrow_schema(SEQUENCES)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
+        forget_others()
         for group, block, table in grouped_blocks(batches, "group", BLOCK_PIECES, BLOCK_BYTES):
             lengths, ids, wide, doc_ids, starts = (table.column(c).to_pylist() for c in ("length", "ids", "wide", "doc_id", "start"))
             bins: dict[int, list[tuple[int, int]]] = {}

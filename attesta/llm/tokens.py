@@ -13,6 +13,8 @@ import os
 import re
 from collections.abc import Iterator
 
+from .common import forget_others, remember
+
 CACHE_WORDS = 700_000
 #: Texts whose new words are encoded together, and their characters.
 BATCH_TEXTS, BATCH_CHARS = 64, 1_000_000
@@ -137,11 +139,8 @@ class WordEncoder:
 
 def word_encoder(path: str) -> WordEncoder:
     """One encoder per worker process and file."""
+    forget_others("tokens")
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
+    remember("tokens", _encoders.clear)
     return _encoders[path]
-
-
-def forget() -> None:
-    """Give back what this worker remembers, before a step that needs memory for other things."""
-    _encoders.clear()
