@@ -5,8 +5,9 @@ token, told apart by where in the page it stands. Tokens that occur equally ofte
 pages have the same occurrence vector; those that share one are an equivalence class. A class is
 valid if its tokens come in the same order on every page and it does not straddle a class around it.
 Valid classes, nested, are the template; what stands between their tokens are the slots, and a
-page's text is what the slots of its article hold. Which slots those are is read from the elements
-that enclose them and, where no element says so, from where on the host's pages the slots' text is.
+page's text is what the slots of its article hold. Which slots those are is read from where on the
+host's pages the slots' text is; elements marked as the article are a hint, and decide only where
+too few pages tell.
 """
 
 from __future__ import annotations
@@ -80,6 +81,7 @@ class Page:
     blocks: list[Block]
     tokens: list[tuple[str, str]]  # (shape, tag or word), in page order
     containers: dict[int, str]  # number of each element that says it holds the article: its kind
+    marked: dict[str, set[str]]  # the shapes of these, by kind
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -116,7 +118,7 @@ def _kind(name: str, attributes: dict[str, str]) -> str | None:
 def parse(source: str | None) -> Page:
     """Blocks and tokens of a page, however badly formed; nothing but white space is lost."""
     source = source or ""
-    page = Page([], [], {})
+    page = Page([], [], {}, defaultdict(set))
     stack: list[tuple[str, int, bool, str, bool]] = []  # name, number, chrome, shape, header of an article
     numbers, links, text, linked = 0, 0, [], 0
     at, end = 0, len(source)
@@ -196,6 +198,7 @@ def parse(source: str | None) -> Page:
             kind = _kind(name, attributes)
             if kind and not chrome:
                 page.containers[numbers] = kind
+                page.marked[kind].add(shape)
     if at < end:
         add(source[at:])
     flush()
@@ -289,26 +292,37 @@ def _slot_share(block: Block, template: Template) -> float:
     return sum((block.shape, w) not in template.tokens for w in block.words) / len(block.words)
 
 
-def _container(page: Page, open_blocks: list[Block]) -> int | None:
-    """The element that holds the article, by what elements say of themselves."""
+def _within(block: Block, shape: str | None) -> bool:
+    return shape is None or block.shape == shape or block.shape.startswith(shape + "/")
+
+
+def _marked(page: Page, blocks: list[Block], template: Template, share: float) -> list[Block]:
+    """Those of some blocks that are in elements marked as the article, all elements of the first
+    kind that holds a share of the blocks' slot text."""
+    amounts = [len(b.text) * (_slot_share(b, template) if template.pages >= LEAST_PAGES else 1) for b in blocks]
     for kind in ("article", "main", "named"):
-        own = [number for number, k in page.containers.items() if k == kind]
-        sizes = Counter({number: sum(len(b.text) for b in open_blocks if number in b.path) for number in own})
-        if sizes and (best := max(sizes.items(), key=lambda x: (x[1], -x[0])))[1]:
-            return best[0]
-    return None
+        own = {number for number, k in page.containers.items() if k == kind}
+        inside = [not own.isdisjoint(b.path) for b in blocks]
+        if any(inside) and sum(a for a, i in zip(amounts, inside) if i) >= share * sum(amounts):
+            return [b for b, i in zip(blocks, inside) if i]
+    return []
 
 
 def article_blocks(page: Page, template: Template, main_shape: str | None) -> list[Block]:
-    """The blocks of a page's article, in page order."""
+    """The blocks of a page's article, in page order: those of the slots that hold most of the
+    host's text. What elements say of themselves narrows these down if it agrees with the slots, and
+    decides where nothing is deduced or the page has no such slots."""
     open_blocks = [b for b in page.blocks if not b.chrome]
-    number = _container(page, open_blocks)
-    if number is not None:
-        chosen = [b for b in open_blocks if number in b.path]
+    known = template.pages >= LEAST_PAGES
+    slots = [b for b in open_blocks if _within(b, main_shape)] if known and main_shape else []
+    if slots:
+        chosen = _marked(page, slots, template, MOST_TEXT)
     else:
-        chosen = [b for b in open_blocks if main_shape is None or b.shape == main_shape or b.shape.startswith(main_shape + "/")] or open_blocks
+        chosen = _marked(page, open_blocks, template, 0)
+    if not chosen:
+        chosen = slots or [b for b in open_blocks if _within(b, main_shape)] or open_blocks
         chosen = [b for b in chosen if b.heading or b.linked < 0.6 * len(b.text)]
-    if template.pages >= LEAST_PAGES:
+    if known:
         fixed = [b for b in chosen if _slot_share(b, template) == 0 and not b.heading]
         if sum(len(b.text) for b in fixed) <= MOST_TEMPLATE * sum(len(b.text) for b in chosen):
             gone = set(map(id, fixed))
@@ -317,7 +331,8 @@ def article_blocks(page: Page, template: Template, main_shape: str | None) -> li
 
 
 def main_shape(pages: list[Page], template: Template) -> str | None:
-    """The deepest kind of element that holds most of the slot text of a host's pages."""
+    """The deepest kind of element that holds most of the slot text of a host's pages, or the
+    nearest around it that is marked as the article."""
     held: Counter = Counter()
     total = 0.0
     for page in pages:
@@ -334,6 +349,13 @@ def main_shape(pages: list[Page], template: Template) -> str | None:
     # a paragraph is no container
     while deepest and deepest.rpartition("/")[2].split(".")[0] in ("p", *HEADINGS):
         deepest = deepest.rpartition("/")[0]
+    shapes = {kind: {s for p in pages for s in p.marked.get(kind, ())} for kind in ("article", "main", "named")}
+    for kind in shapes:
+        shape = deepest or ""
+        while shape and shape not in shapes[kind]:
+            shape = shape.rpartition("/")[0]
+        if shape:
+            return shape
     return deepest or None
 
 

@@ -68,3 +68,21 @@ def test_table(spark):
     want = sorted(((i, u, "" if h is None else "z" if i is None else f"text {i}", 0 if h is None else 1 if i is None else len(f"text {i}")) for i, u, h, _ in rows), key=str)
     assert got == want
     assert H.extract_main_text(df.limit(0)).count() == 0
+
+
+def test_slots_choose_the_article_and_marks_only_hint():
+    rng = random.Random(7)
+    sources, want = [], []
+    for n in range(12):
+        body = paragraphs(rng, 5)
+        # the marked element is a short box beside the text
+        sources.append(f"<body><div class='x1'><p>{'</p><p>'.join(body)}</p></div><div class='content'><p>Box {n}</p></div></body>")
+        want.append("\n".join(body))
+    assert H.extract_texts(sources) == want
+
+
+@pytest.mark.parametrize("count", [1, 12])
+def test_every_marked_article_is_kept(count):
+    rng = random.Random(count)
+    bodies = [paragraphs(rng, 3) for _ in range(count)]
+    assert H.extract_texts(["<body>" + "".join(f"<article><p>{p}</p></article>" for p in b) + "</body>" for b in bodies]) == ["\n".join(b) for b in bodies]
