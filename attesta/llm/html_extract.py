@@ -1,6 +1,6 @@
 """Main text of web pages by equivalence-class template deduction.
 
-Pages of one host are taken together, a bounded number at a time. Every tag and word of a page is a
+Pages of one host are taken together; a large host's are dealt out in even lots. Every tag and word of a page is a
 token, told apart by where in the page it stands. Tokens that occur equally often on each of the
 pages have the same occurrence vector; those that share one are an equivalence class. A class is
 valid if its tokens come in the same order on every page and it does not straddle a class around it.
@@ -23,10 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, arrow_schema, grouped_blocks
+from .common import arrow_batch, arrow_schema, grouped_blocks, materialize
 
-#: Pages of a host that a template is deduced from, at most, and their bytes.
-PAGES_PER_TEMPLATE, BYTES_PER_TEMPLATE = 64, 16_000_000
+#: A host with twice these pages, or more than these bytes, is dealt out in lots of about as many. For
+#: its bytes no lot gets fewer than LEAST_LOT pages on average, so that each lot can tell its template.
+PAGES_PER_TEMPLATE, BYTES_PER_TEMPLATE, LEAST_LOT = 64, 16_000_000, 24
+#: So many times as much is held of a lot at a time.
+HELD = 4
 #: Distinct pages without which no text counts as template, the share of pages that template text
 #: is on, and the share of an article beyond which repeated text means copies, not a template.
 LEAST_PAGES, SUPPORT, MOST_TEMPLATE = 5, 0.9, 0.3
@@ -359,12 +362,20 @@ def main_shape(pages: list[Page], template: Template) -> str | None:
     return deepest or None
 
 
-def extract_texts(sources: list[str | None]) -> list[str]:
-    """The main texts of pages of one host."""
+def _extract(sources: list[str | None], before: tuple[Template, str | None] | None = None) -> tuple[list[str], tuple[Template, str | None]]:
+    """The main texts of pages of one host, and what was deduced, or ``before`` if that knows more
+    pages and these are too few."""
     pages = [parse(s) for s in sources]
     template = deduce(pages)
-    shape = main_shape(pages, template)
-    return ["\n".join(b.text for b in article_blocks(p, template, shape)) for p in pages]
+    known = (template, main_shape(pages, template))
+    if before and template.pages < LEAST_PAGES and template.pages < before[0].pages:
+        known = before
+    return ["\n".join(b.text for b in article_blocks(p, *known)) for p in pages], known
+
+
+def extract_texts(sources: list[str | None]) -> list[str]:
+    """The main texts of pages of one host."""
+    return _extract(sources)[0]
 
 
 def extract_main_text(pages: DataFrame, per_template: int = PAGES_PER_TEMPLATE) -> DataFrame:
@@ -375,19 +386,30 @@ def extract_main_text(pages: DataFrame, per_template: int = PAGES_PER_TEMPLATE)
     url has the empty host, copies and repeated page_ids are extracted row by row, extra columns are
     ignored, and an empty table gives an empty one.
 
-    Rows are range-partitioned and sorted by host and a hash, so the pages of a large host are
-    spread over tasks, and each task streams through them a template's worth at a time.
+    The pages of a host are one lot; those of a large host are dealt by a hash into lots of at least
+    ``per_template`` pages on average, as many as its size asks for. Rows are range-partitioned and
+    sorted by lot, so that no lot is cut, whatever the partitions and neighbours are, and none is a
+    short rest. Of a lot larger than planned (rows of one page_id and url are dealt alike) a part is
+    held at a time, and a part of few distinct pages uses the template of the one before.
     """
     schema = "page_id long, url string, text string, n_chars long, host string"
     fields = arrow_schema(schema)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for host, _, table in grouped_blocks(batches, "host", per_template, BYTES_PER_TEMPLATE):
-            texts = extract_texts(table.column("html").to_pylist())
-            yield arrow_batch([table.column("page_id").to_pylist(), table.column("url").to_pylist(), texts, list(map(len, texts)), [host] * len(texts)], fields)
+        known = None
+        for _, block, table in grouped_blocks(batches, "lot", HELD * per_template, HELD * BYTES_PER_TEMPLATE):
+            texts, known = _extract(table.column("html").to_pylist(), known if block else None)
+            yield arrow_batch([table.column("page_id").to_pylist(), table.column("url").to_pylist(), texts, list(map(len, texts)), table.column("host").to_pylist()], fields)
 
     c = F.col
     host = F.regexp_extract(F.lower(F.coalesce(c("url"), F.lit(""))), "^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1)
     rows = pages.select(c("page_id").cast("long").alias("page_id"), c("url").cast("string").alias("url"), c("html").cast("string").alias("html"))
     rows = rows.withColumn("host", host).withColumn("turn", F.xxhash64("page_id", "url"))
-    return rows.repartitionByRange("host", "turn").sortWithinPartitions("host", "turn", "page_id").drop("turn").mapInArrow(extract, schema)
+    sizes = rows.groupBy(c("host").alias("of_host")).agg(F.count("*").alias("n"), F.sum(F.octet_length("html")).alias("bytes"))
+    wanted = F.greatest(F.floor(c("n") / per_template), F.ceil(F.coalesce("bytes", F.lit(0)) / BYTES_PER_TEMPLATE))
+    sizes = sizes.select("of_host", F.least(wanted, F.greatest(F.floor(c("n") / per_template), F.floor(c("n") / LEAST_LOT))).cast("long").alias("lots"))
+    large = materialize(sizes.where("lots > 1"), "large-hosts")
+    rows = rows.join(large, c("host") == c("of_host"), "left")
+    lot = F.concat_ws(" ", "host", F.pmod("turn", F.coalesce("lots", F.lit(1))).cast("string"))
+    rows = rows.withColumn("lot", lot).select("page_id", "url", "html", "host", "turn", "lot")
+    return rows.repartitionByRange("lot").sortWithinPartitions("lot", "turn", "page_id").drop("turn").mapInArrow(extract, schema)

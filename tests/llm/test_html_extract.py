@@ -86,3 +86,21 @@ def test_every_marked_article_is_kept(count):
     rng = random.Random(count)
     bodies = [paragraphs(rng, 3) for _ in range(count)]
     assert H.extract_texts(["<body>" + "".join(f"<article><p>{p}</p></article>" for p in b) + "</body>" for b in bodies]) == ["\n".join(b) for b in bodies]
+
+
+@pytest.mark.parametrize(("count", "per_template"), [(66, 64), (131, 64), (202, 40)])
+def test_no_page_is_left_in_a_short_rest(spark, count, per_template):
+    rng = random.Random(count)
+    bodies = [paragraphs(rng, 5) for _ in range(count)]
+    rows = [(i, f"http://one.example/{i}", "<article><p>" + "</p><p>".join(b) + "</p><p>Printed on recycled electrons.</p></article>") for i, b in enumerate(bodies)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in H.extract_main_text(df, per_template).collect()} == {i: "\n".join(b) for i, b in enumerate(bodies)}
+
+
+def test_large_pages_still_share_a_template(spark, monkeypatch):
+    monkeypatch.setattr(H, "BYTES_PER_TEMPLATE", 2_000)
+    rng = random.Random(3)
+    bodies = [paragraphs(rng, 6) for _ in range(60)]
+    rows = [(i, f"http://one.example/{i}", "<article><p>" + "</p><p>".join(b) + "</p><p>Printed on recycled electrons.</p></article>") for i, b in enumerate(bodies)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in H.extract_main_text(df).collect()} == {i: "\n".join(b) for i, b in enumerate(bodies)}
