@@ -210,11 +210,13 @@ def parse(source: str | None) -> Page:
 
 @dataclass(slots=True)
 class Template:
-    """The tokens of the valid classes, and how many distinct pages they come from."""
+    """The tokens of the valid classes, how many distinct pages they come from, and the blocks that
+    stand on enough of these word for word."""
 
     tokens: set[tuple[str, str]]
     pages: int
     classes: list[list[tuple[str, str]]]
+    blocks: set[tuple[str, str]]
 
 
 def _longest_rising(values: list[int]) -> list[int]:
@@ -240,7 +242,7 @@ def deduce(pages: list[Page]) -> Template:
     distinct = list({tuple(p.tokens): p for p in pages}.values())
     n = len(distinct)
     if n < 2:
-        return Template(set(), n, [])
+        return Template(set(), n, [], set())
     counts = [Counter(p.tokens) for p in distinct]
     on = Counter(t for c in counts for t in c)
     least = max(2, SUPPORT * n)
@@ -287,11 +289,20 @@ def deduce(pages: list[Page]) -> Template:
             if root
         ):
             nested.append(group)
-    return Template({t for g in nested for t in g}, n, nested)
+    repeated = Counter(b for p in distinct for b in {(b.shape, b.text) for b in p.blocks})
+    return Template({t for g in nested for t in g}, n, nested, {b for b, k in repeated.items() if k >= least})
+
+
+def _is_fixed(block: Block, template: Template) -> bool:
+    """Whether a block is template as a whole. That each of its words is says nothing: on long pages
+    the words that every text has are on all pages too."""
+    return (block.shape, block.text) in template.blocks
 
 
 def _slot_share(block: Block, template: Template) -> float:
     """How much of a block is slot, not template."""
+    if _is_fixed(block, template):
+        return 0.0
     return sum((block.shape, w) not in template.tokens for w in block.words) / len(block.words)
 
 
@@ -326,7 +337,7 @@ def article_blocks(page: Page, template: Template, main_shape: str | None) -> li
         chosen = slots or [b for b in open_blocks if _within(b, main_shape)] or open_blocks
         chosen = [b for b in chosen if b.heading or b.linked < 0.6 * len(b.text)]
     if known:
-        fixed = [b for b in chosen if _slot_share(b, template) == 0 and not b.heading]
+        fixed = [b for b in chosen if _is_fixed(b, template) and not b.heading]
         if sum(len(b.text) for b in fixed) <= MOST_TEMPLATE * sum(len(b.text) for b in chosen):
             gone = set(map(id, fixed))
             chosen = [b for b in chosen if id(b) not in gone]

@@ -104,3 +104,15 @@ def test_large_pages_still_share_a_template(spark, monkeypatch):
     rows = [(i, f"http://one.example/{i}", "<article><p>" + "</p><p>".join(b) + "</p><p>Printed on recycled electrons.</p></article>") for i, b in enumerate(bodies)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert {r.page_id: r.text for r in H.extract_main_text(df).collect()} == {i: "\n".join(b) for i, b in enumerate(bodies)}
+
+
+def test_only_whole_blocks_are_template():
+    rng = random.Random(11)
+    common = [f"w{i}" for i in range(8)]
+    sources, want = [], []
+    for n in range(12):
+        # each page has the common words, in an order of its own, and one page a paragraph of nothing else
+        body = [" ".join(rng.sample(common, 8) + [f"own{n}x{k}" for k in range(30)]) for k in range(4)] + (["w3 w1 w7"] if n == 4 else [])
+        sources.append("<article><p>" + "</p><p>".join(body) + "</p><p>w1 notice of w2</p></article>")
+        want.append("\n".join(body))
+    assert H.extract_texts(sources) == want
