@@ -62,9 +62,9 @@ def _located(spark, sf_dir):
     pairs = blocks.join(windows, "block").select("doc_id", "item_id").distinct()
     met = d.join(pairs, "doc_id").join(b, "item_id")
     short = b.where(~long)
-    if short.limit(MOST_SHORT + 1).count() > MOST_SHORT:
-        raise ValueError("too many short passages to try on every text")
-    met = met.select("doc_id", "item_id", "q", "t", "bare", "bare_q").unionByName(d.join(F.broadcast(short), F.contains("bare", "bare_q")).select("doc_id", "item_id", "q", "t", "bare", "bare_q"))
+    # few are sent to every task; of more the planner sees to it, by a broadcast if they are small or a product
+    few = short.limit(MOST_SHORT + 1).count() <= MOST_SHORT
+    met = met.select("doc_id", "item_id", "q", "t", "bare", "bare_q").unionByName(d.join(F.broadcast(short) if few else short, F.contains("bare", "bare_q")).select("doc_id", "item_id", "q", "t", "bare", "bare_q"))
     return met.where(F.contains("bare", "bare_q")).select("doc_id", "item_id", X.locate(F.col("q"), F.col("t")).alias("m"))
 
 
