@@ -3,9 +3,10 @@
 A text is read as clauses of token classes: insults (a lexicon of words and word beginnings learned
 from labels, each with a weight), threats, targets, negations, reported speech. Small transducers
 each follow one phenomenon: they pass classes on and mark the insults and threats within their
-scope. Composed into one machine, they turn a clause into matched patterns, such as a negated
-insult or a threat with a target. What a pattern counts for, and the score that a document's
-clauses add up to, are learned by logistic regression.
+scope. Composed into two machines, of which one reads a clause forwards and the other what the first
+passes on backwards, they turn a clause into matched patterns, such as a negated insult or a threat
+with a target. What a pattern counts for, for or against, is learned by logistic regression; of a
+pattern that the labels say nothing of, a prior weight stays.
 """
 
 from __future__ import annotations
@@ -14,12 +15,12 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_batch, arrow_schema, crc_mod, documents_of, parts
@@ -27,6 +28,8 @@ from .common import arrow_batch, arrow_schema, crc_mod, documents_of, parts
 FOLDS, HELD_OUT = 5, 0
 #: The bounded sample of labelled documents that is learned from.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 3000, 5000
+#: Bytes of its texts, of either kind (but one text at least).
+SAMPLE_BYTES = 32_000_000
 SEED = 11
 #: Lengths of word beginnings that can be learned, the least number of toxic documents with a
 #: lexicon entry, and the largest chance that it is there by accident.
@@ -38,15 +41,17 @@ CACHE_WORDS = 500_000
 #: Words that have a class whatever the labels, in English, German, French and Spanish.
 THREATS = frozenset("kill hurt destroy beat burn shoot stab töten umbringen schlagen vernichten tuer frapper détruire brûler matar golpear destruir quemar".split())
 TARGETS = frozenset("you your yours yourself he she they them him her du dich dir ihr euch sie tu toi te vous ils elle ustedes vosotros usted ellos ellas ti".split())
-NEGATIONS = frozenset("not no never none nobody nothing neither isn't aren't don't kein keine nicht nie niemals jamais aucun nunca tampoco ningún".split())
+NEGATIONS = frozenset("not no never none nobody nothing neither isn't aren't don't kein keine nicht nie niemals jamais aucun nunca tampoco ningún pas ne".split())
 REPORTS = frozenset("said says wrote writes quoted claimed claims reported reportedly alleged called sagte schrieb behauptete zitierte déclaré écrit selon dijo escribió según afirmó".split())
 
 #: Classes of tokens: other, insult, threat, target, negation, report, quotation mark.
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE = range(7)
 
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
-_TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\"“”«»]")
-_CLAUSE = re.compile(r"[.!?;:\n]+")
+_TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\"“”„«»]")
+_QUOTES = frozenset('"“”„«»')
+#: Ends a clause; a line feed also ends a quotation.
+_CLAUSE = re.compile(r"[.!?;]+|\n+")
 
 
 @dataclass(frozen=True)
@@ -94,7 +99,7 @@ class Scope(Transducer):
 
 class Reported(Transducer):
     """Between quotation marks, and after a word of reporting to the end of the clause, insults and
-    threats are somebody else's."""
+    threats are somebody else's. A state is (after such a word, inside a quotation)."""
 
     start = (False, False)
 
@@ -120,16 +125,42 @@ class Composed(Transducer):
         return (one, two), symbol
 
 
-def grammar() -> Transducer:
-    """Insult and threat clauses with their targets, negations and reported speech."""
-    insulted = Scope(TARGET, (INSULT, THREAT), "targeted", 5)
-    again = Scope(INSULT, (INSULT,), "repeated", 4)
-    negated = Scope(NEGATION, (INSULT, THREAT), "negated", 3)
-    return Composed(Composed(Composed(insulted, again), negated), Reported())
+#: In how many tokens a target before or after, another insult before, and a negation before counts.
+TARGET_BEFORE, TARGET_AFTER, REPEATED_WITHIN, NEGATED_WITHIN, REPORT_AFTER = 5, 3, 4, 3, 8
 
 
-#: What a matched pattern is counted as.
-PATTERNS = ("insult", "insult targeted", "insult negated", "insult reported", "insult repeated", "threat", "threat targeted")
+class Grammar:
+    """Insult and threat clauses with their targets, negations and reported speech: one machine reads
+    a clause forwards, the other reads what that passes on backwards."""
+
+    def __init__(self) -> None:
+        both = (INSULT, THREAT)
+        targeted, repeated = Scope(TARGET, both, "targeted", TARGET_BEFORE), Scope(INSULT, (INSULT,), "repeated", REPEATED_WITHIN)
+        self._unquoted = Composed(Composed(targeted, repeated), Scope(NEGATION, both, "negated", NEGATED_WITHIN))
+        self._forwards = Composed(self._unquoted, Reported())
+        self._backwards = Composed(Scope(TARGET, both, "targeted", TARGET_AFTER), Scope(REPORT, both, "reported", REPORT_AFTER))
+
+    def read(self, kinds: list[int], inside: bool = False) -> list[Symbol]:
+        """The symbols of a clause with their marks. inside: whether it begins within a quotation."""
+        state, symbols = (self._unquoted.start, (False, inside)), []
+        for kind in kinds:
+            state, symbol = self._forwards.step(state, Symbol(kind))
+            symbols.append(symbol)
+        state = self._backwards.start
+        for i in range(len(symbols) - 1, -1, -1):
+            state, symbols[i] = self._backwards.step(state, symbols[i])
+        return symbols
+
+
+#: What a matched pattern is counted as, and its weight before anything is learned of it.
+PATTERNS = {
+    "insult": 1.0, "insult targeted": 1.2, "insult repeated": 1.0, "insult negated": 0.0, "insult reported": 0.0,
+    "threat": 0.0, "threat targeted": 2.0, "threat negated": 0.0, "threat reported": 0.0,
+}
+#: How firmly the prior weights hold, in documents.
+STIFFNESS = 0.3
+#: Patterns that nobody asserts.
+UNASSERTED = frozenset(p for p in PATTERNS if p.endswith(("negated", "reported")))
 
 
 def pattern_of(symbol: Symbol) -> str:
@@ -140,8 +171,12 @@ def pattern_of(symbol: Symbol) -> str:
     return name
 
 
+def _lower(text: str) -> str:
+    return text.lower().replace("’", "'")
+
+
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return _WORD.findall(_lower(text))
 
 
 def beginnings(word: str) -> list[str]:
@@ -157,20 +192,22 @@ def _tail(n: float, k: float, p: float) -> float:
     return math.exp(-n * d)
 
 
-def learn_lexicon(rows: list[tuple[str, int]]) -> dict[str, float]:
+def learn_lexicon(rows: list[tuple[str, int]], words_in: Callable[[str], list[str]] = words_of) -> dict[str, float]:
     """Words and word beginnings that mark toxic documents, with their smoothed log odds.
 
     Copies of a document would make any of its words look like a mark. So a toxic document counts
     for an entry in the proportion of the entry's occurrences that have neighbours of their own."""
-    toxic_words = [words_of(t) for t, y in rows if y]
+    toxic_words = [words_in(t) for t, y in rows if y]
     n_toxic, n_clean = len(toxic_words), len(rows) - len(toxic_words)
     if not n_toxic or not n_clean:
         return {}
     share = n_toxic / (n_toxic + n_clean)
-    entries = lambda words: words | {b for w in words for b in beginnings(w)}
-    toxic = Counter(f for words in toxic_words for f in entries(set(words)))
+    entries = lambda words: words.union(*map(beginnings, words))
+    toxic: Counter = Counter()
+    for words in toxic_words:
+        toxic.update(entries(set(words)))
     candidates = {f for f, n in toxic.items() if n >= LEAST_DOCUMENTS and _tail(n, n, share) < BY_CHANCE}
-    clean = Counter(f for t, y in rows if not y for f in entries(set(words_of(t))) & candidates)
+    clean = Counter(f for t, y in rows if not y for f in entries(set(words_in(t))) & candidates)
     candidates = {f for f in candidates if _tail(toxic[f] + clean[f], toxic[f], share) < BY_CHANCE}
     occurrences: Counter = Counter()
     neighbours: dict[str, set] = {f: set() for f in candidates}
@@ -193,9 +230,9 @@ def learn_lexicon(rows: list[tuple[str, int]]) -> dict[str, float]:
 @dataclass
 class ToxicityModel:
     lexicon: dict[str, float]
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(len(PATTERNS) + 2))
+    weights: np.ndarray = field(default_factory=lambda: np.array([*PATTERNS.values(), 0.0, 0.0]))
     bias: float = -6.0
-    _machine: Transducer = field(default_factory=grammar, repr=False)
+    _grammar: Grammar = field(default_factory=Grammar, repr=False)
     _known: dict[str, tuple[int, float]] = field(default_factory=dict, repr=False)
 
     def classify(self, word: str) -> tuple[int, float]:
@@ -212,29 +249,30 @@ class ToxicityModel:
     def clauses(self, text: str) -> Iterator[tuple[str, list[tuple[str, str, float]]]]:
         """Each clause with a match, and its matches: (word, pattern, weight)."""
         classify = self.classify
-        lower = text.lower()
+        lower = _lower(text)
         if not any(classify(w)[0] in (INSULT, THREAT) for w in set(_WORD.findall(lower))):
             return
-        for clause in _CLAUSE.split(lower):
-            tokens = [(t, *((QUOTE, 0.0) if t in '"“”«»' else classify(t))) for t in _TOKEN.findall(clause)]
-            if not any(kind in (INSULT, THREAT) for _, kind, _ in tokens):
-                continue
-            state, found = self._machine.start, []
-            for token, kind, weight in tokens:
-                state, symbol = self._machine.step(state, Symbol(kind))
-                if kind in (INSULT, THREAT):
-                    found.append((token, pattern_of(symbol), weight))
-            yield clause, found
+        inside, at = False, 0
+        for end in (*_CLAUSE.finditer(lower), None):
+            clause = lower[at : end.start() if end else len(lower)]
+            tokens = [(t, *((QUOTE, 0.0) if t in _QUOTES else classify(t))) for t in _TOKEN.findall(clause)]
+            if any(kind in (INSULT, THREAT) for _, kind, _ in tokens):
+                symbols = self._grammar.read([kind for _, kind, _ in tokens], inside)
+                yield clause, [(token, pattern_of(symbol), weight) for (token, kind, weight), symbol in zip(tokens, symbols) if kind in (INSULT, THREAT)]
+            if end:
+                inside = end[0][0] != "\n" and inside ^ sum(kind == QUOTE for _, kind, _ in tokens) % 2
+                at = end.end()
 
     def features(self, text: str) -> np.ndarray:
-        """log(1 + the clauses' weights) by pattern, the heaviest clause, and how many match."""
+        """log(1 + the clauses' weights) by pattern; of what is asserted, neither negated nor
+        reported, the heaviest clause's insults, and in how many clauses there is any."""
         sums, heaviest, count = dict.fromkeys(PATTERNS, 0.0), 0.0, 0
         for _, found in self.clauses(text):
-            total = 0.0
+            asserted = [(pattern, weight) for _, pattern, weight in found if pattern not in UNASSERTED]
             for _, pattern, weight in found:
                 sums[pattern] += weight
-                total += weight if pattern.startswith("insult") else 0.0
-            heaviest, count = max(heaviest, total), count + 1
+            heaviest = max(heaviest, sum(weight for pattern, weight in asserted if pattern.startswith("insult")))
+            count += bool(asserted)
         return np.log1p(np.array([*sums.values(), heaviest, count]))
 
     def score(self, text: str | None) -> float:
@@ -248,62 +286,86 @@ class ToxicityModel:
         self.__init__(**state)
 
 
-def fit(rows: list[tuple[str, int]], share: float | None = None, rounds: int = 400) -> ToxicityModel:
+def fit(rows: list[tuple[str, int]], share: float | None = None, rounds: int = 40) -> ToxicityModel:
     """A model from (text, toxic). share: of toxic documents among all, if rows are not in that
     proportion. The patterns' weights are fitted on half of the rows with the lexicon of the other
-    half, both ways round, and are kept from being negative, for matches never speak against."""
-    model = ToxicityModel(learn_lexicon(rows))
+    half, both ways round, by Newton's method with a normal prior around ``PATTERNS``; what speaks
+    against toxicity gets a negative weight."""
     y = np.array([label for _, label in rows], float)
     if not len(y) or y.min() == y.max():
-        model.bias = 30.0 if len(y) and y[0] else -30.0
-        return model
-    halves = [ToxicityModel(learn_lexicon([r for r in rows if zlib.crc32(r[0][:200].encode("utf-8", "surrogatepass")) % 2 != h])) for h in (0, 1)]
-    x = np.array([halves[zlib.crc32(t[:200].encode("utf-8", "surrogatepass")) % 2].features(t) for t, _ in rows])
+        return ToxicityModel(learn_lexicon(rows), bias=30.0 if len(y) and y[0] else -30.0)
+    words: dict[str, list[str]] = {}
+
+    def words_in(text: str) -> list[str]:
+        if text not in words:
+            words[text] = words_of(text)
+        return words[text]
+
+    half = [zlib.crc32(t.encode("utf-8", "surrogatepass")) % 2 for t, _ in rows]
+    halves = [ToxicityModel(learn_lexicon([r for r, k in zip(rows, half) if k != h], words_in)) for h in (0, 1)]
+    model = ToxicityModel(learn_lexicon(rows, words_in))
+    x = np.array([[*halves[k].features(t), 1.0] for (t, _), k in zip(rows, half)])
     share = y.mean() if share is None else share
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-    w, b, n = np.zeros(x.shape[1]), math.log(share / (1 - share)), weight.sum()
+    prior = np.array([*model.weights, math.log(share / (1 - share))])
+    stiff = np.array([*np.full(len(prior) - 1, STIFFNESS), 1e-6])
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((weight * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * (stiff * (w - prior) ** 2).sum())
+
+    w, now = prior.copy(), loss(prior)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
-        d = weight * (p - y)
-        w = np.maximum(0.0, w - 1.0 * ((x.T @ d) / n + 1e-4 * w))
-        b -= 1.0 * d.sum() / n
-    model.weights, model.bias = w, float(b)
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        down = x.T @ (weight * (p - y)) + stiff * (w - prior)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(stiff), down)
+        size = 1.0
+        while size > 1e-6 and loss(w - size * step) > now:
+            size /= 2
+        before, w = now, w - size * step
+        now = loss(w)
+        if before - now < 1e-9 * (1 + abs(now)):
+            break
+    model.weights, model.bias = w[:-1], float(w[-1])
     return model
 
 
-def training_sample(documents: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN) -> tuple[list[tuple[str, int]], float | None]:
-    """Up to so many labelled documents of each kind, drawn by a hash from outside the held-out fold,
-    and the share of toxic ones among all of these."""
+def training_sample(documents: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN, most_bytes: int = SAMPLE_BYTES) -> tuple[list[tuple[str, int]], float | None]:
+    """Up to so many labelled documents of each kind, those of the least hashes outside the held-out
+    fold, of ``most_bytes`` of text (but one), and the share of toxic ones among all of these. Of a
+    repeated doc_id one text is taken, so no number of its rows enlarges the sample; labelled twice,
+    it counts as toxic if either label says so."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where((crc_mod("doc_id", FOLDS) != HELD_OUT) & F.col("toxic").isin(0, 1))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if not counts:
         return [], None
     limits = {1: toxic, 0: clean}
-    parts = []
+    turn = F.xxhash64("doc_id", F.lit(SEED))
+    drawn = F.lit(False)
     for kind, count in counts.items():
-        chance = min(1.0, 1.2 * limits[kind] / count)
-        drawn = known.where((F.col("toxic") == kind) & (F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_000)) < int(1_000_000 * chance)))
-        parts.append(drawn.limit(limits[kind]))
-    chosen = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    # at most toxic + clean rows of two numbers
-    rows = documents_of(documents).where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").collect()
-    taken: Counter = Counter()
-    out = []
-    for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"])):
-        taken[r["toxic"]] += 1
-        if taken[r["toxic"]] <= limits[r["toxic"]]:
-            out.append((r["text"], r["toxic"]))
-    return out, counts.get(1, 0) / sum(counts.values())
+        # over-drawn, so that with chance there are enough
+        drawn |= (F.col("toxic") == kind) & (F.pmod(turn, F.lit(1_000_000)) < int(1_000_000 * min(1.0, (1.2 * limits[kind] + 50) / count)))
+    # at most about 1.2 * (toxic + clean) + 100 rows of two numbers
+    chosen = known.where(drawn).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    texts = documents_of(documents).where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    by_turn = Window.partitionBy("toxic").orderBy("turn", "doc_id")
+    texts = texts.withColumn("turn", turn).withColumn("nth", F.row_number().over(by_turn)).withColumn("bytes", F.sum(F.octet_length("text")).over(by_turn))
+    limit = F.when(F.col("toxic") == 1, toxic).otherwise(clean)
+    rows = texts.where((F.col("nth") == 1) | (F.col("nth") <= limit) & (F.col("bytes") <= most_bytes)).select("doc_id", "text", "toxic").collect()
+    return [(r["text"], r["toxic"]) for r in sorted(rows, key=lambda r: r["doc_id"])], counts.get(1, 0) / sum(counts.values())
 
 
 def score_toxicity(documents: DataFrame, labels: DataFrame | None = None, model: ToxicityModel | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted, clause (the heaviest matched clause, or null), patterns.
 
     Unless a model is given, one is learned from a bounded sample of the labelled documents outside
-    the held-out fold. Scores are from the text alone; a null text is scored as an empty one.
-    Repeated doc_ids are scored row by row, a null doc_id is not held out, extra columns are
-    ignored, and an empty table gives an empty one. Without labels of both kinds all scores agree.
+    the held-out fold. Scores are from the text alone, which is read whole however long it is; a null
+    text is scored as an empty one. A score of exactly one half is predicted toxic; of clauses of
+    equal weight the first is shown. Repeated doc_ids are scored row by row, a null doc_id is not
+    held out, extra columns are ignored, and an empty table gives an empty one. Without labels of
+    both kinds all scores agree.
     """
     if model is None:
         rows, share = training_sample(documents, labels)
