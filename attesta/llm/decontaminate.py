@@ -2,14 +2,15 @@
 
 Of every ``WINDOW_WORDS - K + 1`` neighbouring k-grams the one with the least hash is kept, on both
 sides; so any run of ``WINDOW_WORDS`` words that a document shares with an item has a kept k-gram
-in common with it. Documents are joined with the benchmark on these fingerprints, and around each
-shared one the runs of words themselves are compared. The benchmark is sent to the executors in
-blocks of a bounded size, each against all documents.
+in common with it. Fingerprints are joined in two steps. A table of bits, of a fixed size however
+large the benchmark is, tells which kept k-grams of a document can be the benchmark's; around those a
+hit is extended to the windows that hold the k-gram, and these are joined with the benchmark's
+windows on 128-bit hashes. Neither the benchmark nor what is found of it is ever on the driver or
+whole in a task.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,10 @@ from .line_dedup import row_hash
 WINDOW_WORDS = 10
 #: Words in a k-gram.
 K = 5
-#: Bytes of benchmark text in a block.
-BLOCK_BYTES = 8_000_000
+#: The table of bits has 2 ** FILTER_BITS of them: 2 MB. A larger benchmark only makes it less telling.
+FILTER_BITS = 24
+#: Windows of an item that are sent on together.
+ROWS_AT_ONCE = 20_000
 
 #: Lower-cases A-Z and blanks all ASCII but letters and digits; other bytes belong to words.
 _TO_WORDS = bytes(
@@ -71,154 +74,163 @@ def winnow(grams: np.ndarray, window: int) -> np.ndarray:
     return np.flatnonzero(most == grams)
 
 
-class BenchmarkIndex:
-    """A block of items: the fingerprints kept, and what each window belongs to."""
-
-    def __init__(self, items: list[tuple[int | None, str | None]], window: int = WINDOW_WORDS, k: int = K):
-        self.window, self.k = window, k
-        self.windows: dict[bytes, list] = {}
-        self.short: dict[int, np.ndarray] = {}
-        kept, short = [], {}
-        for item_id, text in items:
-            words = words_of(text)
-            if not words:
-                continue
-            if len(words) < window:
-                short.setdefault(len(words), []).append(_grams(_word_hashes(words), len(words)))
-            else:
-                grams = _grams(_word_hashes(words), k)
-                kept.append(grams[winnow(grams, window - k + 1)])
-            size = min(window, len(words))
-            for at in range(len(words) - size + 1):
-                ids = self.windows.setdefault(b" ".join(words[at : at + size]), [])
-                if not ids or ids[-1] != item_id:
-                    ids.append(item_id)
-        self.kept = np.unique(np.concatenate(kept)) if kept else np.zeros(0, np.uint64)
-        self.short = {n: np.unique(np.concatenate(x)) for n, x in short.items()}
-
-    def _shared(self, grams: np.ndarray, known: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(known, grams)
-        at[at == len(known)] = 0
-        return known[at] == grams
-
-    def find(self, words: list[bytes]) -> tuple[list[int], list[int], set]:
-        """Starts and ends of the hit runs of words, apart from each other, and the items found."""
-        n, spans, items = len(words), [], set()
-        if len(self.kept) == 0 and not self.short or not n:
-            return [], [], items
-        hashes = _word_hashes(words)
-
-        def test(starts, size: int) -> None:
-            for at in starts:
-                found = self.windows.get(b" ".join(words[at : at + size]))
-                if found is not None:
-                    spans.append((at, at + size))
-                    items.update(found)
-
-        if len(self.kept) and n >= self.window:
-            reach = self.window - self.k
-            grams = _grams(hashes, self.k)
-            at = winnow(grams, reach + 1)
-            at = at[self._shared(grams[at], self.kept)]
-            if len(at):
-                starts = np.unique((at[:, None] - np.arange(reach + 1)).ravel())
-                test(starts[(starts >= 0) & (starts <= n - self.window)].tolist(), self.window)
-        for size, known in self.short.items():
-            if n >= size:
-                test(np.flatnonzero(self._shared(_grams(hashes, size), known)).tolist(), size)
-        starts, ends = [], []
-        for a, b in sorted(spans):
-            if ends and a <= ends[-1]:
-                ends[-1] = max(ends[-1], b)
-            else:
-                starts.append(a)
-                ends.append(b)
-        return starts, ends, items
+def _window_hash(words: list[bytes]) -> bytes:
+    from xxhash import xxh3_128_digest
+
+    return xxh3_128_digest(b" ".join(words))
+
+
+def fingerprints_of(words: list[bytes], hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of the k-grams that are kept for windows of ``size`` words. A short
+    window is a k-gram of its own; sizes do not share hashes."""
+    if size < WINDOW_WORDS:
+        grams = _grams(hashes, size) if len(words) >= size else np.zeros(0, np.uint64)
+        return np.arange(len(grams)), grams ^ np.uint64(size * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    if len(words) < size:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    grams = _grams(hashes, K)
+    at = winnow(grams, size - K + 1)
+    return at, grams[at]
+
+
+def benchmark_windows(benchmark: DataFrame) -> DataFrame:
+    """size int, slot long, hash binary, item string: a row for each fingerprint kept of an item
+    (slot: its place among 2 ** 62) and for each window (hash, item; an item_id of null is '')."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string").alias("text"))
+    schema = "size int, slot long, hash binary, item string"
+    fields = arrow_schema(schema)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
+        for batch in parts(batches, 16):
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = words_of(text)
+                if not words:
+                    continue
+                size = min(WINDOW_WORDS, len(words))
+                slots = np.unique(fingerprints_of(words, _word_hashes(words), size)[1] >> np.uint64(2)).astype(np.int64)
+                for at in range(0, len(slots), ROWS_AT_ONCE):
+                    some = slots[at : at + ROWS_AT_ONCE]
+                    yield pa.RecordBatch.from_arrays([pa.array([size] * len(some), pa.int32()), pa.array(some), pa.nulls(len(some), pa.binary()), pa.nulls(len(some), pa.string())], schema=fields)
+                for at in range(0, len(words) - size + 1, ROWS_AT_ONCE):
+                    found = list({_window_hash(words[i : i + size]) for i in range(at, min(at + ROWS_AT_ONCE, len(words) - size + 1))})
+                    yield arrow_batch([[size] * len(found), [None] * len(found), found, [item] * len(found)], fields)
+
+    return items.mapInArrow(cut, schema)
+
+
+def _filter_of(windows: DataFrame, bits: int) -> tuple[list[int], np.ndarray]:
+    """The sizes of windows, ten at most, and the table of bits. The driver gets 2 ** bits of these
+    at most, put together by the tasks."""
+    place = F.shiftrightunsigned("slot", 62 - bits)
+    words = windows.where("slot IS NOT NULL").select("size", F.shiftrightunsigned(place, 6).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int")).alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits"), F.collect_set("size").alias("sizes")).collect()
+    table = np.zeros(max(1, 1 << bits - 6), np.int64)
+    for r in found:
+        table[r["word"]] = r["bits"]
+    return sorted({size for r in found for size in r["sizes"]}), table.view(np.uint64)
+
+
+def candidates_of(words: list[bytes], sizes: list[int], table: np.ndarray, bits: int) -> dict[bytes, tuple[int, list[int]]]:
+    """The windows around the fingerprints that can be the benchmark's: hash to size and starts."""
+    out: dict[bytes, tuple[int, list[int]]] = {}
+    if not words or not sizes:
+        return out
+    hashes = _word_hashes(words)
+    for size in sizes:
+        at, grams = fingerprints_of(words, hashes, size)
+        place = grams >> np.uint64(64 - bits)
+        at = at[(table[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)]
+        if not len(at):
+            continue
+        reach = size - K if size == WINDOW_WORDS else 0
+        starts = np.unique((at[:, None] - np.arange(reach + 1)).ravel())
+        for i in starts[(starts >= 0) & (starts <= len(words) - size)].tolist():
+            out.setdefault(_window_hash(words[i : i + size]), (size, []))[1].append(i)
+    return out
 
 
-_FOUND = "doc_id long, row long, n_words long, hit_starts array<int>, hit_ends array<int>, items array<string>"
+_CANDIDATES = "doc_id long, row long, n_words long, hash binary, size int, starts array<int>"
 
 
-def _scan(documents: DataFrame, index: BenchmarkIndex) -> DataFrame:
-    """Every document against one block of the benchmark."""
-    sent = documents.sparkSession.sparkContext.broadcast(index)
-    fields = arrow_schema(_FOUND)
+def _candidates(documents: DataFrame, sizes: list[int], table: np.ndarray, bits: int) -> DataFrame:
+    """A row for each document (hash null) and one for each window that can be the benchmark's."""
+    sent = documents.sparkSession.sparkContext.broadcast((sizes, table))
+    fields = arrow_schema(_CANDIDATES)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = sent.value
-        for batch in parts(batches):
+        forget_others()
+        for batch in parts(batches, 64):
             rows = []
             for doc_id, text, row in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 words = words_of(text)
-                starts, ends, items = index.find(words)
-                rows.append((doc_id, row, len(words), starts, ends, sorted("" if i is None else str(i) for i in items)))
+                rows.append((doc_id, row, len(words), None, None, None))
+                rows.extend((doc_id, row, None, h, size, starts) for h, (size, starts) in candidates_of(words, *sent.value, bits).items())
             if rows:
                 yield arrow_batch(zip(*rows), fields)
 
-    return documents_of(documents).withColumn("row", row_hash()).mapInArrow(scan, _FOUND)
+    return documents_of(documents).withColumn("row", row_hash()).mapInArrow(scan, _CANDIDATES)
 
 
-def _joined_runs(runs):
-    """Runs (s, e) sorted by start and joined where they touch."""
+def _found(documents: DataFrame, benchmark: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """The candidates, and those windows of them that are the benchmark's: doc_id, row, size, starts,
+    item. Copies of a row are one before the join; in it each hash has one row for an item on the
+    benchmark's side, so a window that very many documents hold is only a long run of their rows,
+    which adaptive execution splits."""
+    windows = materialize(benchmark_windows(benchmark), "benchmark-windows")
+    seen = materialize(_candidates(documents, *_filter_of(windows, bits), bits), "candidates")
+    own = seen.where("hash IS NOT NULL").groupBy("doc_id", "row", "hash").agg(F.first("size").alias("size"), F.first("starts").alias("starts"))
+    items = windows.where("hash IS NOT NULL").select(F.col("hash").alias("of"), "item").distinct()
+    return seen, own.join(items, F.col("hash") == F.col("of")).select("doc_id", "row", "hash", "size", "starts", "item")
 
-    def add(done, run):
-        last = F.element_at(done, -1)
-        longer = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], run["e"]).alias("e"))))
-        apart = F.coalesce(F.try_element_at(done, F.lit(-1))["e"] < run["s"], F.lit(True))
-        return F.when(apart, F.concat(done, F.array(run))).otherwise(longer)
 
-    return F.aggregate(F.array_sort(runs), F.array().cast("array<struct<s:int,e:int>>"), add)
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """The documents, all columns, in which no window of the benchmark occurs. Null and empty texts
+    stay; rows of one doc_id are judged by their texts; a text of any length is read whole."""
+    _, found = _found(documents, benchmark, filter_bits)
+    hit = materialize(found.select(F.col("doc_id").alias("__hit_id"), F.col("row").alias("__hit_row")).distinct(), "contaminated")
+    rows = documents.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("__id"), row_hash(F.col("text").cast("string")).alias("__row"))
+    clean = rows.join(hit, rows["__id"].eqNullSafe(hit["__hit_id"]) & (rows["__row"] == hit["__hit_row"]), "left_anti")
+    return clean.select("doc.*")
 
 
-def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[BenchmarkIndex]:
-    """The benchmark's indexes, one for each ``block_bytes`` of its text in the mean."""
-    items = benchmark.select(F.col("item_id"), F.col("text").cast("string").alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
-    blocks = max(1, math.ceil(size / block_bytes))
-    for block in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        yield BenchmarkIndex([tuple(r) for r in part.collect()])
-
-
-def drop_contaminated(documents: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents, all columns, in which no window of the benchmark occurs."""
-    text_at, schema = documents.columns.index("text"), documents.schema
-    for index in benchmark_blocks(benchmark, block_bytes):
-        sent = documents.sparkSession.sparkContext.broadcast(index)
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hit windows of a document as runs of words, joined where they touch."""
+    fields = arrow_schema(_RUNS)
+    for batch in batches:
+        starts, ends = [], []
+        for windows in batch.column(2).to_pylist():
+            a = np.concatenate([np.asarray(w["starts"], np.int64) for w in windows])
+            b = np.concatenate([np.asarray(w["starts"], np.int64) + w["size"] for w in windows])
+            order = np.argsort(a, kind="stable")
+            a, reached = a[order], np.maximum.accumulate(b[order])
+            new = np.concatenate(([True], a[1:] > reached[:-1]))
+            starts.append(a[new].tolist())
+            ends.append(reached[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(a) - 1]))].tolist())
+        yield arrow_batch([batch.column(0), batch.column(1), starts, ends, batch.column(3).to_pylist()], fields)
 
-        def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            forget_others()
-            for batch in parts(batches):
-                yield batch.filter(pa.array([not sent.value.find(words_of(t))[0] for t in batch.column(text_at).to_pylist()], pa.bool_()))
 
-        documents = documents.mapInArrow(keep, schema)
-    return documents
+_RUNS = "doc_id long, row long, hit_starts array<int>, hit_ends array<int>, items array<string>"
 
 
-def benchmark_hits(documents: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def benchmark_hits(documents: DataFrame, benchmark: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
     """doc_id, row, n_words, hit_starts, hit_ends (word positions of the hit runs), items.
 
     Words are runs of ASCII letters and digits (A-Z lower-cased) and of all characters beyond ASCII.
     An item's windows are its runs of ``WINDOW_WORDS`` words; an item of fewer words, but not none, is
-    one window. Every occurrence of a window in a document is hit. ``items``: the ids, as strings, of
-    the items with occurring windows, distinct and sorted (a null item_id is ''); ``row`` is a hash
-    of the text. One row per document row; a null text has no words; extra columns are ignored; an
-    empty benchmark hits nothing and an empty documents table gives an empty one.
+    one window. Every occurrence of a window in a document is hit, however long the text. ``items``:
+    the ids, as strings, of the items with occurring windows, distinct and sorted (a null item_id is
+    ''); ``row`` is a hash of the text. One row per document row, repeated ones too; a null text has
+    no words; extra columns are ignored; an empty benchmark hits nothing and an empty documents table
+    gives an empty one.
     """
-    found = None
-    indexes = list(benchmark_blocks(benchmark, block_bytes))
-    for index in indexes:
-        one = _scan(documents, index)
-        if len(indexes) == 1:
-            return one
-        # every document from the first block; from the others, those that it hits
-        one = one if found is None else one.where(F.size("items") > 0).withColumn("n_words", F.lit(None).cast("long"))
-        one = materialize(one, "benchmark-block")
-        found = one if found is None else found.unionByName(one)
-    base = found.where("n_words IS NOT NULL").select("doc_id", "row", "n_words")
-    runs = F.flatten(F.collect_list(F.arrays_zip(F.col("hit_starts").alias("s"), F.col("hit_ends").alias("e"))))
-    hits = found.where(F.size("items") > 0).groupBy("doc_id", "row").agg(runs.alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    hits = hits.select(F.col("doc_id").alias("d"), F.col("row").alias("r"), _joined_runs(F.col("runs")).alias("runs"), "items")
-    both = base.join(hits, base["doc_id"].eqNullSafe(hits["d"]) & (base["row"] == hits["r"]), "left")
+    seen, found = _found(documents, benchmark, filter_bits)
+    # sets, so that a window of many items is one
+    hits = found.groupBy("doc_id", "row").agg(F.collect_set(F.struct("size", "starts")).alias("windows"), F.sort_array(F.collect_set("item")).alias("items"))
+    runs = hits.mapInArrow(_joined, _RUNS).withColumnsRenamed({"doc_id": "d", "row": "r"})
+    base = seen.where("hash IS NULL").select("doc_id", "row", "n_words")
+    both = base.join(runs, base["doc_id"].eqNullSafe(runs["d"]) & (base["row"] == runs["r"]), "left")
     none = F.array().cast("array<int>")
-    return both.select("doc_id", "row", "n_words", F.coalesce("runs.s", none).alias("hit_starts"), F.coalesce("runs.e", none).alias("hit_ends"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return both.select(
+        "doc_id", "row", "n_words", F.coalesce("hit_starts", none).alias("hit_starts"), F.coalesce("hit_ends", none).alias("hit_ends"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
+    )

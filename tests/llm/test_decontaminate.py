@@ -39,9 +39,9 @@ def got(docs, benchmark, **options):
     return sorted(((r.doc_id, r.n_words, spread(r), list(r["items"])) for r in rows), key=str)
 
 
-@pytest.mark.parametrize("block_bytes", [10**7, 400])
-def test_against_brute_force(spark, docs_of, odd, block_bytes):
-    rng = random.Random(block_bytes)
+@pytest.mark.parametrize("filter_bits", [24, 7])
+def test_against_brute_force(spark, docs_of, odd, filter_bits):
+    rng = random.Random(filter_bits)
     vocabulary = ["ka", "Lo", "mi", "né", "漢字", "x1"]
     prose = lambda n: "".join(rng.choice(vocabulary) + rng.choice([" ", ", ", "\n", " -- "]) for _ in range(n))
     items = [(i, prose(rng.choice([0, 1, 3, 9, 10, 11, 25, 60]))) for i in range(30)] + [(5, prose(12)), (None, prose(15)), (99, None), (98, "zulu " * 400)]
@@ -52,7 +52,7 @@ def test_against_brute_force(spark, docs_of, odd, block_bytes):
     rows.append((400, "zulu " * 3000))
     rows.append((100, rows[-5][1]))
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    assert got(docs_of(rows), benchmark, block_bytes=block_bytes) == brute(rows, items)
+    assert got(docs_of(rows), benchmark, filter_bits=filter_bits) == brute(rows, items)
 
 
 def test_every_shared_run_shares_a_kept_gram():
@@ -77,6 +77,18 @@ def test_only_clean_documents_stay(spark, docs_of):
     passage = "one two three four five six seven eight nine ten eleven"
     benchmark = spark.createDataFrame([(1, passage)], "item_id long, text string")
     rows = [(1, "so " + passage.upper()), (2, passage.replace("ten", "twelve")), (3, None), (4, passage[len("one two ") :])]
-    for block_bytes in (10**6, 10):
-        kept = D.drop_contaminated(docs_of(rows), benchmark, block_bytes)
+    for filter_bits in (24, 7):
+        kept = D.drop_contaminated(docs_of(rows), benchmark, filter_bits)
         assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 4] and kept.columns == docs_of(rows).columns
+
+
+def test_a_larger_benchmark_sends_no_more(spark):
+    rng = random.Random(3)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    sizes = set()
+    for items in (5, 300):
+        windows = D.benchmark_windows(spark.createDataFrame([(i, prose(30)) for i in range(items)] + [(-1, "two words")], "item_id long, text string"))
+        found, table = D._filter_of(windows, 12)
+        assert found == [2, 10]
+        sizes.add(table.nbytes)
+    assert sizes == {512}
