@@ -4,19 +4,23 @@ Pages of one host are taken together; a large host's are dealt out in even lots.
 token, told apart by where in the page it stands. Tokens that occur equally often on each of the
 pages have the same occurrence vector; those that share one are an equivalence class. A class is
 valid if its tokens come in the same order on every page and it does not straddle a class around it.
-Valid classes, nested, are the template; what stands between their tokens are the slots, and a
-page's text is what the slots of its article hold. Which slots those are is read from where on the
-host's pages the slots' text is; elements marked as the article are a hint, and decide only where
-too few pages tell.
+Valid classes, nested, are the template; what stands between their tokens are the slots. The tokens
+that every page has once are the outermost class: equal tags in different gaps of it, or in a gap that
+has the same number of them on each page, are tokens of their own, which join the class in turn until
+none is left to tell apart. So the parts of a page get their places without any name. A page's text
+is what the slots of its article hold: of the innermost element whose slots hold most of the host's
+text. What elements say of themselves only names slots within it, and decides alone where too few
+pages tell.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -35,6 +39,8 @@ HELD = 4
 LEAST_PAGES, SUPPORT, MOST_TEMPLATE = 5, 0.9, 0.3
 #: Of all slot text, what the chosen element must hold where no element is marked as the article.
 MOST_TEXT = 0.6
+#: A block with this share of its characters in links is a menu, for all that is known without slots.
+MOST_LINKED = 0.6
 
 #: Elements that never hold article text, inline elements, and elements whose content
 #: is not markup.
@@ -70,8 +76,8 @@ _SPACE = re.compile(r"\s+")
 class Block:
     """A run of text between block-level tags."""
 
-    path: tuple[int, ...]  # the open elements' numbers on the page
-    shape: str  # their names
+    element: int  # the number of the element that it stands in, 0 for none
+    shape: str  # the names of the open elements
     text: str
     linked: int  # characters of it in links
     chrome: bool
@@ -83,8 +89,24 @@ class Block:
 class Page:
     blocks: list[Block]
     tokens: list[tuple[str, str]]  # (shape, tag or word), in page order
+    tags: list[int]  # which of them are tags
+    parents: list[int]  # by number of an element: that around it; number 0 is the page
+    names: list[str]  # its name and class
+    opened: list[int]  # its token
     containers: dict[int, str]  # number of each element that says it holds the article: its kind
-    marked: dict[str, set[str]]  # the shapes of these, by kind
+
+
+@dataclass(slots=True)
+class Open:
+    """An element on the stack."""
+
+    name: str
+    number: int
+    chrome: bool
+    shape: str
+    in_header: bool  # in the header of an article
+    in_article: bool
+    in_heading: bool
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -118,12 +140,22 @@ def _kind(name: str, attributes: dict[str, str]) -> str | None:
     return None
 
 
+#: Names of shapes are put together up to this length; deeper ones are told apart by a hash.
+LONGEST_SHAPE = 400
+_DIGITS = re.compile(r"\d+")
+_STOP_ITEM = frozenset("ul ol table dl div section article blockquote body tr".split())
+_STOP = frozenset("div section article body td li blockquote".split())
+
+
 def parse(source: str | None) -> Page:
-    """Blocks and tokens of a page, however badly formed; nothing but white space is lost."""
+    """Blocks and tokens of a page, however badly formed or deeply nested, in time and space linear
+    in its length; nothing but white space is lost."""
     source = source or ""
-    page = Page([], [], {}, defaultdict(set))
-    stack: list[tuple[str, int, bool, str, bool]] = []  # name, number, chrome, shape, header of an article
-    numbers, links, text, linked = 0, 0, [], 0
+    page = Page([], [], [], [0], [""], [-1], {})
+    outside = Open("", 0, False, "", False, False, False)
+    stack: list[Open] = []
+    open_names: Counter = Counter()
+    links, text, linked = 0, [], 0
     at, end = 0, len(source)
 
     def flush() -> None:
@@ -131,23 +163,28 @@ def parse(source: str | None) -> Page:
         if text:
             clean = _SPACE.sub(" ", entities.unescape("".join(text))).strip()
             if clean:
-                name, _, chrome, shape, in_header = stack[-1] if stack else ("", 0, False, "", False)
-                heading = any(s[0] in HEADINGS for s in stack)
+                top = stack[-1] if stack else outside
                 words = clean.split(" ")
-                page.blocks.append(Block(tuple(s[1] for s in stack), shape, clean, min(linked, len(clean)), chrome and not (in_header and heading), heading, words))
-                page.tokens.extend((shape, w) for w in words)
+                page.blocks.append(Block(top.number, top.shape, clean, min(linked, len(clean)), top.chrome and not (top.in_header and top.in_heading), top.in_heading, words))
+                page.tokens.extend([(top.shape, w) for w in words])
             text, linked = [], 0
 
-    def pop_to(names: tuple[str, ...], stop: tuple[str, ...] = ()) -> bool:
+    def tag(shape: str, what: str) -> None:
+        page.tags.append(len(page.tokens))
+        page.tokens.append((shape, what))
+
+    def pop_to(names: tuple[str, ...], stop: frozenset[str] = frozenset()) -> None:
+        if not any(open_names[name] for name in names):
+            return
         for depth in range(len(stack) - 1, -1, -1):
-            if stack[depth][0] in names:
-                for s in reversed(stack[depth:]):
-                    page.tokens.append((s[3], "</>"))
+            if stack[depth].name in names:
+                for gone in reversed(stack[depth:]):
+                    tag(gone.shape, "</>")
+                    open_names[gone.name] -= 1
                 del stack[depth:]
-                return True
-            if stack[depth][0] in stop:
-                return False
-        return False
+                return
+            if stack[depth].name in stop:
+                return
 
     def add(piece: str) -> None:
         nonlocal linked
@@ -180,43 +217,58 @@ def parse(source: str | None) -> Page:
             flush()
             if name in RAW:
                 done = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(source, at)
-                page.tokens.append((stack[-1][3] if stack else "", f"<{name}>"))
+                tag(stack[-1].shape if stack else "", f"<{name}>")
                 at = done.end() if done else end
                 continue
             if name in VOID or raw.rstrip().endswith("/") and name in ("svg", "path"):
                 continue
             # a new block ends an open paragraph
-            pop_to(_ENDS.get(name, ("p",)), ("ul", "ol", "table", "dl", "div", "section", "article", "blockquote", "body", "tr") if name in ("li", "td", "th", "tr", "dt", "dd") else ("div", "section", "article", "body", "td", "li", "blockquote"))
+            pop_to(_ENDS.get(name, ("p",)), _STOP_ITEM if name in _ENDS and name != "p" else _STOP)
             attributes = _attributes(raw) if raw and not raw.isspace() else {}
-            numbers += 1
-            above = stack[-1] if stack else ("", 0, False, "", False)
-            inside = any(s[0] in ("article", "main") for s in stack)
+            above = stack[-1] if stack else outside
             own = _is_chrome(name, attributes)
-            in_header = above[4] or own and not above[2] and inside and (name == "header" or name != "nav" and "header" in _names(attributes))
-            mark = f"{name}.{'.'.join(sorted(attributes['class'].split())[:3])}" if attributes.get("class") else name
-            shape = f"{above[3]}/{mark}"
-            chrome = above[2] or own
-            stack.append((name, numbers, chrome, shape, in_header))
-            page.tokens.append((shape, "<>"))
+            in_header = above.in_header or own and not above.chrome and above.in_article and (name == "header" or name != "nav" and "header" in _names(attributes))
+            mark = f"{name}.{'.'.join(sorted(_DIGITS.sub('0', attributes['class']).split())[:3])}" if attributes.get("class") else name
+            shape = f"{above.shape}/{mark}"
+            if len(shape) > LONGEST_SHAPE:
+                shape = hashlib.blake2b(shape.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+            number, chrome = len(page.parents), above.chrome or own
+            stack.append(Open(name, number, chrome, shape, in_header, above.in_article or name in ("article", "main"), above.in_heading or name in HEADINGS))
+            open_names[name] += 1
+            page.parents.append(above.number)
+            page.names.append(mark)
+            page.opened.append(len(page.tokens))
+            tag(shape, "<>")
             kind = _kind(name, attributes)
             if kind and not chrome:
-                page.containers[numbers] = kind
-                page.marked[kind].add(shape)
+                page.containers[number] = kind
     if at < end:
         add(source[at:])
     flush()
     return page
 
 
+#: A token of the outermost class: itself, and the number of the one before whose gap it is told apart
+#: by, its turn in that gap and how many there are, or the number of the one that it stands around and
+#: AROUND (None for tokens that need no telling apart).
+Role = tuple[tuple[str, str], tuple[int, int, int] | None]
+
+
+AROUND = (0, -1)
+
+
 @dataclass(slots=True)
 class Template:
-    """The tokens of the valid classes, how many distinct pages they come from, and the blocks that
-    stand on enough of these word for word."""
+    """The tokens of the valid classes, how many distinct pages they come from, the blocks that stand
+    on enough of these word for word, and the outermost class: its roles, numbered in the order of
+    their finding, and for each round of finding the numbers in page order."""
 
     tokens: set[tuple[str, str]]
     pages: int
     classes: list[list[tuple[str, str]]]
     blocks: set[tuple[str, str]]
+    roles: list[Role]
+    rounds: list[list[int]]
 
 
 def _longest_rising(values: list[int]) -> list[int]:
@@ -237,12 +289,138 @@ def _longest_rising(values: list[int]) -> list[int]:
     return out[::-1]
 
 
+def _in_gaps(page: Page, located: dict[int, int]) -> dict[tuple[tuple[str, str], int], list[int]]:
+    """Where the tags are that have no role yet, by token and the role before them (-1 for none)."""
+    order = sorted((at, role) for role, at in located.items())
+    places, taken = [at for at, _ in order], set(located.values())
+    found: dict[tuple[tuple[str, str], int], list[int]] = defaultdict(list)
+    for i in page.tags:
+        if i not in taken:
+            k = bisect_right(places, i)
+            found[page.tokens[i], order[k - 1][1] if k else -1].append(i)
+    return found
+
+
+def _around(page: Page, located: dict[int, int]) -> dict[int, int]:
+    """For the elements whose tags have roles: the tag of the one around it, if that has no role."""
+    taken = set(located.values())
+    numbers = {at: number for number, at in enumerate(page.opened) if at in taken}
+    found = {}
+    for role, at in located.items():
+        parent = page.parents[numbers[at]] if numbers.get(at, 0) > 0 else 0
+        if parent and page.opened[parent] not in taken:
+            found[role] = page.opened[parent]
+    return found
+
+
+def _rising(located: dict[int, int], rank: dict[int, int]) -> list[int]:
+    """Of the roles on a page those that keep their order."""
+    roles = sorted((r for r in located if r in rank), key=lambda r: located[r])
+    return [roles[i] for i in _longest_rising([rank[r] for r in roles])]
+
+
+def locate(page: Page, template: Template) -> dict[int, int]:
+    """Where the roles of the outermost class are on a page; any page, also one with some missing."""
+    once: dict[tuple[str, str], int] = {}
+    wanted = {token for token, gap in template.roles if gap is None}
+    for i, token in enumerate(page.tokens):
+        if token in wanted:
+            once[token] = -1 if token in once else i
+    located: dict[int, int] = {}
+    for k, order in enumerate(template.rounds):
+        gaps, around = (_in_gaps(page, located), _around(page, located)) if k else ({}, {})
+        for role in order:
+            if role not in located:
+                token, told = template.roles[role]
+                if told is None:
+                    if once.get(token, -1) >= 0:
+                        located[role] = once[token]
+                elif told[1:] == AROUND:
+                    if page.tokens[around.get(told[0], 0)] == token and told[0] in around:
+                        located[role] = around[told[0]]
+                else:
+                    at = gaps.get((token, told[0]), ())
+                    if len(at) == told[2]:
+                        located[role] = at[told[1]]
+        kept = set(_rising(located, {role: n for n, role in enumerate(order)}))
+        located = {role: at for role, at in located.items() if role in kept}
+    return located
+
+
+def _ordered(found: list[dict[int, int]], least: float) -> list[int]:
+    """The roles in the order that they have on enough pages."""
+    fullest = max(found, key=len)
+    order = sorted(fullest, key=fullest.__getitem__)
+    rank = {role: n for n, role in enumerate(order)}
+    astray: Counter = Counter()
+    for located in found:
+        kept = set(_rising(located, rank))
+        astray.update(role for role in located if role in rank and role not in kept)
+    return [role for role in order if astray[role] <= len(found) - least]
+
+
+def outermost_class(pages: list[Page], once: list[tuple[str, str]], least: float) -> tuple[list[Role], list[list[int]]]:
+    """Roles and rounds of a template, from the tokens that enough pages have once and none more
+    often. Each round tells equal tags in different gaps apart, until none is left."""
+    template = Template(set(), len(pages), [], set(), [(token, None) for token in once], [list(range(len(once)))])
+    where = []
+    for page in pages:
+        at = {token: i for i, token in enumerate(page.tokens)}
+        where.append({role: at[token] for role, token in enumerate(once) if token in at})
+    while True:
+        order = _ordered(where, least)
+        template.rounds[-1] = order
+        rank = {role: n for n, role in enumerate(order)}
+        where = [{role: located[role] for role in _rising(located, rank)} for located in where]
+        gaps = [_in_gaps(page, located) for page, located in zip(pages, where)]
+        around = [_around(page, located) for page, located in zip(pages, where)]
+        numbers: dict[tuple[tuple[str, str], int], Counter] = defaultdict(Counter)
+        for found in gaps:
+            for key, at in found.items():
+                numbers[key][len(at)] += 1
+        fresh = []
+        for key, spread in numbers.items():
+            n, on = max(spread.items(), key=lambda x: (x[1], x[0]))
+            if on >= least:
+                fresh.append((key, n))
+        parents: dict[tuple[tuple[str, str], int], int] = Counter()
+        for page, found in zip(pages, around):
+            parents.update((page.tokens[at], role) for role, at in found.items())
+        parents = {key: n for key, n in parents.items() if n >= least}
+        if not fresh and not parents:
+            return template.roles, template.rounds
+        start = len(template.roles)
+        taken = [set(located.values()) for located in where]
+        for token, role in sorted(parents):
+            number, any_new = len(template.roles), False
+            for page, located, found, known in zip(pages, where, around, taken):
+                at = found.get(role)
+                if at is not None and page.tokens[at] == token and at not in known:
+                    located[number] = at
+                    known.add(at)
+                    any_new = True
+            if any_new:
+                template.roles.append((token, (role, *AROUND)))
+        for (token, gap), n in sorted(fresh):
+            first = len(template.roles)
+            template.roles.extend((token, (gap, i, n)) for i in range(n))
+            for located, found, known in zip(where, gaps, taken):
+                at = found.get((token, gap), ())
+                if len(at) == n and known.isdisjoint(at):
+                    located.update(zip(range(first, first + n), at))
+                    known.update(at)
+        template.rounds.append([])
+        if not any(role >= start for role in _ordered(where, least)):
+            template.rounds.pop()
+            return template.roles, template.rounds
+
+
 def deduce(pages: list[Page]) -> Template:
     """The template of pages of one host. Pages with the same tokens count once."""
     distinct = list({tuple(p.tokens): p for p in pages}.values())
     n = len(distinct)
     if n < 2:
-        return Template(set(), n, [], set())
+        return Template(set(), n, [], set(), [], [])
     counts = [Counter(p.tokens) for p in distinct]
     on = Counter(t for c in counts for t in c)
     least = max(2, SUPPORT * n)
@@ -290,7 +468,13 @@ def deduce(pages: list[Page]) -> Template:
         ):
             nested.append(group)
     repeated = Counter(b for p in distinct for b in {(b.shape, b.text) for b in p.blocks})
-    return Template({t for g in nested for t in g}, n, nested, {b for b, k in repeated.items() if k >= least})
+    most = Counter()
+    for c in counts:
+        for t in c.keys() & wanted:
+            most[t] = max(most[t], c[t])
+    once = sorted(t for t in wanted if most[t] == 1)
+    roles, rounds = outermost_class(distinct, once, least) if once else ([], [])
+    return Template({t for g in nested for t in g}, n, nested, {b for b, k in repeated.items() if k >= least}, roles, rounds)
 
 
 def _is_fixed(block: Block, template: Template) -> bool:
@@ -306,36 +490,69 @@ def _slot_share(block: Block, template: Template) -> float:
     return sum((block.shape, w) not in template.tokens for w in block.words) / len(block.words)
 
 
-def _within(block: Block, shape: str | None) -> bool:
-    return shape is None or block.shape == shape or block.shape.startswith(shape + "/")
+@dataclass(slots=True)
+class Places:
+    """Which elements of a host's pages stand in the same place: those whose tag has the same role,
+    or that have the same name and class in the same place. A place is a number; ``above`` and
+    ``names`` tell what is around it and what its elements are called."""
+
+    numbers: dict[tuple, int]
+    above: list[int]
+    names: list[str]
+
+    def of(self, page: Page, template: Template) -> list[int]:
+        """The place of each element of a page; 0 is the page itself."""
+        roles = {at: role for role, at in locate(page, template).items()}
+        out = [0]
+        for number in range(1, len(page.parents)):
+            role = roles.get(page.opened[number])
+            around = out[page.parents[number]]
+            key = (around, page.names[number]) if role is None else (around, page.names[number], role)
+            place = self.numbers.get(key)
+            if place is None:
+                place = self.numbers[key] = len(self.above)
+                self.above.append(around)
+                self.names.append(page.names[number])
+            out.append(place)
+        return out
+
+
+def _inside(page: Page, chosen: Callable[[int], bool]) -> list[bool]:
+    """Of each element, whether it or one around it is chosen."""
+    out = [chosen(0)]
+    for number in range(1, len(page.parents)):
+        out.append(out[page.parents[number]] or chosen(number))
+    return out
 
 
 def _marked(page: Page, blocks: list[Block], template: Template, share: float) -> list[Block]:
     """Those of some blocks that are in elements marked as the article, all elements of the first
     kind that holds a share of the blocks' slot text."""
+    if not page.containers:
+        return []
     amounts = [len(b.text) * (_slot_share(b, template) if template.pages >= LEAST_PAGES else 1) for b in blocks]
     for kind in ("article", "main", "named"):
-        own = {number for number, k in page.containers.items() if k == kind}
-        inside = [not own.isdisjoint(b.path) for b in blocks]
-        if any(inside) and sum(a for a, i in zip(amounts, inside) if i) >= share * sum(amounts):
-            return [b for b, i in zip(blocks, inside) if i]
+        inside = _inside(page, lambda number: page.containers.get(number) == kind)
+        held = [inside[b.element] for b in blocks]
+        if any(held) and sum(a for a, i in zip(amounts, held) if i) >= share * sum(amounts):
+            return [b for b, i in zip(blocks, held) if i]
     return []
 
 
-def article_blocks(page: Page, template: Template, main_shape: str | None) -> list[Block]:
-    """The blocks of a page's article, in page order: those of the slots that hold most of the
-    host's text. What elements say of themselves narrows these down if it agrees with the slots, and
-    decides where nothing is deduced or the page has no such slots."""
+def article_blocks(page: Page, template: Template, places: list[int], main: int | None) -> list[Block]:
+    """The blocks of a page's article, in page order: those of the slots in the place ``main``. Slots
+    in it that are named as something else go, and what is marked as the article narrows the others
+    down if it holds most of their text. Marks decide where nothing is deduced or the page has no
+    such slots."""
     open_blocks = [b for b in page.blocks if not b.chrome]
     known = template.pages >= LEAST_PAGES
-    slots = [b for b in open_blocks if _within(b, main_shape)] if known and main_shape else []
-    if slots:
-        chosen = _marked(page, slots, template, MOST_TEXT)
-    else:
-        chosen = _marked(page, open_blocks, template, 0)
-    if not chosen:
-        chosen = slots or [b for b in open_blocks if _within(b, main_shape)] or open_blocks
-        chosen = [b for b in chosen if b.heading or b.linked < 0.6 * len(b.text)]
+    within = _inside(page, lambda number: places[number] == main)
+    slots = [b for b in open_blocks if within[b.element]] if main is not None else []
+    chosen = _marked(page, slots, template, MOST_TEXT) if known and slots else _marked(page, open_blocks, template, 0)
+    if not chosen and known and slots:
+        chosen = slots
+    elif not chosen:
+        chosen = [b for b in slots or open_blocks if b.heading or b.linked < MOST_LINKED * len(b.text)]
     if known:
         fixed = [b for b in chosen if _is_fixed(b, template) and not b.heading]
         if sum(len(b.text) for b in fixed) <= MOST_TEMPLATE * sum(len(b.text) for b in chosen):
@@ -344,44 +561,54 @@ def article_blocks(page: Page, template: Template, main_shape: str | None) -> li
     return chosen
 
 
-def main_shape(pages: list[Page], template: Template) -> str | None:
-    """The deepest kind of element that holds most of the slot text of a host's pages, or the
-    nearest around it that is marked as the article."""
+def main_place(pages: list[Page], placed: list[list[int]], places: Places, template: Template) -> int | None:
+    """The innermost place that holds most of the slot text of a host's pages, links and slots that
+    are named as something else apart, or the nearest around it that is marked as the article."""
     held: Counter = Counter()
+    kinds: dict[str, set[int]] = defaultdict(set)
     total = 0.0
-    for page in pages:
+    for page, of in zip(pages, placed):
+        own = [0.0] * len(page.parents)
         for b in page.blocks:
-            if not b.chrome and b.linked < 0.6 * len(b.text):
-                amount = len(b.text) * _slot_share(b, template)
-                total += amount
-                shape = b.shape
-                while shape:
-                    held[shape] += amount
-                    shape = shape.rpartition("/")[0]
-    enough = [s for s, amount in held.items() if total and amount >= MOST_TEXT * total]
-    deepest = max(enough, key=lambda s: (s.count("/"), s), default=None)
+            if not b.chrome and b.linked < MOST_LINKED * len(b.text):
+                own[b.element] += len(b.text) * _slot_share(b, template)
+        for number in range(len(own) - 1, 0, -1):
+            if own[number]:
+                # a place within an equal place counts once
+                if of[number] != of[page.parents[number]]:
+                    held[of[number]] += own[number]
+                own[page.parents[number]] += own[number]
+        total += own[0]
+        for number, kind in page.containers.items():
+            kinds[kind].add(of[number])
+    depth = [0] * len(places.above)
+    for place in range(1, len(depth)):
+        depth[place] = depth[places.above[place]] + 1
+    enough = [place for place, amount in held.items() if total and amount >= MOST_TEXT * total]
+    deepest = max(enough, key=lambda place: (depth[place], -place), default=0)
     # a paragraph is no container
-    while deepest and deepest.rpartition("/")[2].split(".")[0] in ("p", *HEADINGS):
-        deepest = deepest.rpartition("/")[0]
-    shapes = {kind: {s for p in pages for s in p.marked.get(kind, ())} for kind in ("article", "main", "named")}
-    for kind in shapes:
-        shape = deepest or ""
-        while shape and shape not in shapes[kind]:
-            shape = shape.rpartition("/")[0]
-        if shape:
-            return shape
+    while deepest and places.names[deepest].split(".")[0] in ("p", *HEADINGS):
+        deepest = places.above[deepest]
+    for kind in ("article", "main", "named"):
+        place = deepest
+        while place and place not in kinds[kind]:
+            place = places.above[place]
+        if place:
+            return place
     return deepest or None
 
 
-def _extract(sources: list[str | None], before: tuple[Template, str | None] | None = None) -> tuple[list[str], tuple[Template, str | None]]:
+def _extract(sources: list[str | None], before: Template | None = None) -> tuple[list[str], Template]:
     """The main texts of pages of one host, and what was deduced, or ``before`` if that knows more
     pages and these are too few."""
     pages = [parse(s) for s in sources]
     template = deduce(pages)
-    known = (template, main_shape(pages, template))
-    if before and template.pages < LEAST_PAGES and template.pages < before[0].pages:
-        known = before
-    return ["\n".join(b.text for b in article_blocks(p, *known)) for p in pages], known
+    if before and template.pages < LEAST_PAGES and template.pages < before.pages:
+        template = before
+    places = Places({}, [0], [""])
+    placed = [places.of(page, template) for page in pages]
+    main = main_place(pages, placed, places, template)
+    return ["\n".join(b.text for b in article_blocks(page, template, of, main)) for page, of in zip(pages, placed)], template
 
 
 def extract_texts(sources: list[str | None]) -> list[str]:
@@ -393,7 +620,8 @@ def extract_main_text(pages: DataFrame, per_template: int = PAGES_PER_TEMPLATE)
     """page_id, url, text, n_chars, host: the main text of every page.
 
     Text blocks are joined by newlines, with character references decoded and white space inside a
-    block made one space. A null html is empty; a page without text gives an empty string. A null
+    block made one space. A null html is empty; a page without text gives an empty string; pages of any
+    length and depth are read whole. Of places that hold as much the inner one is the article. A null
     url has the empty host, copies and repeated page_ids are extracted row by row, extra columns are
     ignored, and an empty table gives an empty one.
 

@@ -1,6 +1,9 @@
 import html
 import random
+import re
+import time
 
+import duckdb
 import pytest
 
 from attesta.llm import html_extract as H
@@ -116,3 +119,81 @@ def test_only_whole_blocks_are_template():
         sources.append("<article><p>" + "</p><p>".join(body) + "</p><p>w1 notice of w2</p></article>")
         want.append("\n".join(body))
     assert H.extract_texts(sources) == want
+
+
+def nameless(source):
+    """Without attributes, and with divs for the elements whose names say what they are for."""
+    source = re.sub(r"<(/?)(?:nav|header|footer|article|main|aside|section)\b", r"<\1div", source)
+    return re.sub(r"<(\w+)\s[^>]*>", r"<\1>", source)
+
+
+def by_host(limit):
+    hosts = {}
+    for url, source in duckdb.sql("SELECT url, html FROM '/root/testdata/sf0.1/pages.parquet' ORDER BY page_id").fetchall():
+        hosts.setdefault(re.split("[/?#:]", url.split("//")[-1])[0].lower(), []).append(source or "")
+    return [sources[:40] for sources in hosts.values() if len(sources) >= 20][:limit]
+
+
+def test_articles_follow_from_slots_without_any_name(monkeypatch):
+    hosts = by_host(12)
+    want = [H.extract_texts(sources) for sources in hosts]
+    bare = [[nameless(s) for s in sources] for sources in hosts]
+    assert [H.extract_texts(sources) for sources in bare] == want
+    monkeypatch.setattr(H, "deduce", lambda pages: H.Template(set(), 0, [], set(), [], []))
+    changed = [a != b for sources, texts in zip(bare, want) for a, b in zip(H.extract_texts(sources), texts)]
+    assert sum(changed) > 0.9 * len(changed)
+
+
+def test_optional_parts_do_not_move_the_article():
+    rng = random.Random(13)
+    sources, want = [], []
+    for n in range(20):
+        body = paragraphs(rng, rng.randint(3, 6))
+        notice = f"<div>Notice {n} for {paragraphs(rng, 1)[0]}</div>" if n % 3 else ""
+        sources.append(f"<body>{notice}<div><h1>Title {n}</h1><p>{'</p><p>'.join(body)}</p></div><div>Contact {n} {paragraphs(rng, 1)[0]}</div></body>")
+        want.append("\n".join([f"Title {n}", *body]))
+    assert H.extract_texts(sources) == want
+
+
+def test_classes_against_brute_force():
+    for sources in [*by_host(3), *([nameless(s) for s in sources] for sources in by_host(3))]:
+        pages = [H.parse(s) for s in sources[:25]]
+        template = H.deduce(pages)
+        distinct = list({tuple(p.tokens): p for p in pages}.values())
+        vectors = {t: tuple(p.tokens.count(t) for p in distinct) for t in {t for g in template.classes for t in g}}
+        for group in template.classes:
+            assert len({vectors[t] for t in group}) == 1
+            for p in distinct:
+                held = [t for t in p.tokens if t in set(group)]
+                assert held == group * (len(held) // len(group))
+        # the outermost class: each role on most pages, and everywhere in the same order
+        found = [H.locate(p, template) for p in distinct]
+        order = template.rounds[-1]
+        for p, located in zip(distinct, found):
+            assert sorted(located, key=located.get) == [r for r in order if r in located]
+            assert all(p.tokens[at] == template.roles[role][0] for role, at in located.items())
+        assert all(sum(role in located for located in found) >= H.SUPPORT * len(distinct) for role in order)
+        if "article" not in sources[0]:
+            assert sum(told is not None for _, told in template.roles) > 5
+
+
+def test_deep_nesting_takes_linear_time():
+    deep = "<div>x" * 150_000 + "</div>" * 150_000
+    start = time.perf_counter()
+    page = H.parse(deep)
+    assert len(page.blocks) == 150_000 and len(page.parents) == 150_001
+    assert max(len(shape) for shape, _ in page.tokens) <= H.LONGEST_SHAPE
+    assert H.extract_texts([deep, "<p>ok</p>" + "</b></section>" * 50_000])[1] == "ok"
+    assert time.perf_counter() - start < 60
+
+
+@pytest.mark.parametrize("partitions", [1, 7, 32])
+def test_partitions_change_nothing(spark, partitions):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    want = {r.page_id: r.text for r in H.extract_main_text(pages).collect()}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        assert {r.page_id: r.text for r in H.extract_main_text(pages.repartition(partitions)).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
