@@ -18,9 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import arrow_schema, documents_of, forget_others, materialize, parts
+from .line_dedup import row_hash
 
 #: Words in a shingle, the hash's seed, and the bits that linked fingerprints may differ in.
 SHINGLE_WORDS = 3
@@ -61,17 +61,19 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(documents: DataFrame, *more: str) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long). A null text is an empty one."""
-    fields = arrow_schema("doc_id long, fp long")
+def fingerprints(documents: DataFrame) -> DataFrame:
+    """doc_id, row (a hash of the text), fp (the fingerprint as a signed long). A null text is an
+    empty one."""
+    schema = "doc_id long, row long, fp long"
+    fields = arrow_schema(schema)
 
     def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_others()
         for batch in parts(batches):
             found = [_signed(fingerprint_of(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], schema=fields)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.int64())], schema=fields)
 
-    return documents_of(documents).mapInArrow(fingerprint, "doc_id long, fp long")
+    return documents_of(documents).withColumn("row", row_hash()).mapInArrow(fingerprint, schema)
 
 
 def _blocks(bits: list[int], parts: int) -> list[list[int]]:
@@ -199,7 +201,7 @@ def near_links(fps: DataFrame, distance: int = DISTANCE, limit: int = RUN_LIMIT)
     return out.distinct()
 
 
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of an undirected edge list (a, b): the smallest node that it can
     reach, found by alternating large-star and small-star rounds until nothing changes. Each round
     is written out; the driver sees one checksum per round."""
@@ -223,54 +225,55 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     def state(pairs: DataFrame):
         return pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0]
 
-    before = state(current)
-    for _ in range(rounds):
+    before, now = None, state(current)
+    while now != before:
         current = materialize(star(star(current, True), False), "star")
-        now = state(current)
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("components did not settle")
+        before, now = now, state(current)
     return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicate_groups(documents: DataFrame, distance: int = DISTANCE, limit: int = RUN_LIMIT) -> DataFrame:
-    """doc_id, fp, component_id: the smallest doc_id among the documents that each can reach.
-
-    Fingerprints are linked if they differ in at most ``distance`` bits; texts without words have
-    fingerprint 0, which links like any other. One row per input row, so a repeated doc_id is
-    repeated; a null text is empty; null doc_ids take part, but a component's id is null only if
-    all its doc_ids are. Extra columns are ignored, and an empty table gives an empty one.
-    """
+def _groups(documents: DataFrame, distance: int, limit: int) -> DataFrame:
+    """doc_id, row, fp, component_id."""
     prints = materialize(fingerprints(documents), "fingerprints")
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     roots = components(near_links(distinct.select("fp"), distance, limit))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_print = materialize(rooted.join(least, "root").select("fp", "component_id"), "components")
-    return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(of_print, "fp").select("doc_id", "row", "fp", "component_id")
+
+
+def near_duplicate_groups(documents: DataFrame, distance: int = DISTANCE, limit: int = RUN_LIMIT) -> DataFrame:
+    """doc_id, fp, component_id: the smallest doc_id among the documents that each can reach.
+
+    Fingerprints are linked if they differ in at most ``distance`` bits; a bit that exactly half of
+    the shingles have is 0; texts without words have fingerprint 0, which links like any other; a
+    text of any length is read whole. One row per input row, so a repeated doc_id is repeated; a
+    null text is empty; null doc_ids take part, but a component's id is null only if all its doc_ids
+    are. Extra columns are ignored, and an empty table gives an empty one.
+    """
+    return _groups(documents, distance, limit).select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(documents: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """The documents, all columns, with one document of each group: that of the smallest doc_id.
 
-    Of rows with the same doc_id and fingerprint one stays. In a group that has only null doc_ids,
-    one row of each fingerprint stays.
+    Of rows with the same doc_id and fingerprint one stays, whatever their texts. In a group that has
+    only null doc_ids, one row of each fingerprint stays. Only the keys of the rows that go, and the
+    texts of rows that are there twice, are moved.
     """
-    groups = near_duplicate_groups(documents, distance)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "fp").agg(F.count("*").alias("n"))
-    kept = materialize(kept.select(F.col("doc_id").alias("__keep_id"), F.col("fp").alias("__keep_fp"), F.col("n").alias("__keep_n")), "kept")
-    text_at, fields = documents.columns.index("text"), documents.schema
-
-    def with_print(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget_others()
-        for batch in parts(batches):
-            found = pa.array([_signed(fingerprint_of(t)) for t in batch.column(text_at).to_pylist()], pa.int64())
-            yield batch.append_column("__fp", found)
-
-    rows = documents.mapInArrow(with_print, T.StructType([*fields, T.StructField("__fp", T.LongType())]))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__keep_id")) & (F.col("__fp") == F.col("__keep_fp"))
-    if kept.where("__keep_n > 1").isEmpty():
-        return rows.join(kept, same, "left_semi").select(*documents.columns)
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__fp"]).select(*documents.columns)
+    rows = _groups(documents, distance, RUN_LIMIT).groupBy("doc_id", "row").agg(F.first("fp").alias("fp"), F.first("component_id").alias("component_id"), F.count("*").alias("n"))
+    rows = materialize(rows, "grouped-rows")
+    chosen = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "fp").agg(F.min("row").alias("chosen"))
+    chosen = chosen.select(F.col("doc_id").alias("of_id"), F.col("fp").alias("of_fp"), "chosen")
+    judged = rows.join(chosen, rows["doc_id"].eqNullSafe(chosen["of_id"]) & (rows["fp"] == chosen["of_fp"]), "left")
+    gone = F.col("chosen").isNull() | (F.col("row") != F.col("chosen"))
+    # rows that go, and those that stay but once
+    marked = materialize(judged.where(gone | (F.col("n") > 1)).select(F.col("doc_id").alias("__of"), F.col("row").alias("__is"), (~gone).alias("__once")), "duplicates")
+    keyed = documents.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("__id"), row_hash(F.col("text").cast("string")).alias("__row"))
+    same = F.col("__id").eqNullSafe(F.col("__of")) & (F.col("__row") == F.col("__is"))
+    kept = keyed.join(marked, same, "left_anti")
+    once = marked.where("__once")
+    if not once.isEmpty():
+        kept = kept.unionByName(keyed.join(once, same, "left_semi").dropDuplicates(["__id", "__row"]))
+    return kept.select("doc.*")
