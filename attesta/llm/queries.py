@@ -19,7 +19,7 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_matrix.packed_matrices(_table(spark, sf_dir, "documents"))
+    return token_matrix.packed_matrices(_table(spark, sf_dir, "documents"), padded=True)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

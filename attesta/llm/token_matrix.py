@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import DEFAULT_TOKENIZER, arrow_batch, arrow_schema, forget_others, grouped_blocks
 from .packing import END_ID, SEQUENCE_TOKENS, cut_documents, with_group
+from .tokens import tokenizer_path, vocabulary_size
 
 #: Documents in a group, in the mean.
 GROUP_DOCUMENTS = 2048
@@ -78,22 +79,25 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[tuple[int, in
 
 
 def packed_matrices(
-    documents: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, room: int = SEQUENCE_TOKENS, end_id: int = END_ID, per_group: int = GROUP_DOCUMENTS
+    documents: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, room: int = SEQUENCE_TOKENS, end_id: int = END_ID, per_group: int = GROUP_DOCUMENTS, padded: bool = False
 ) -> DataFrame:
     """Sequences of at most ``room`` token ids, one row each.
 
-    ids: the row of the matrix, little-endian, of ``id_bytes`` bytes each (2 if all fit, else 4),
-    without padding; ``padded_to`` is the length to pad it to when it is loaded. cu_seqlens: 0 and
+    ids: the row of the matrix, little-endian, of ``id_bytes`` bytes each, the same in all rows (2 if
+    the tokenizer's vocabulary and ``end_id`` fit, else 4). If ``padded``, every row has ``room`` ids,
+    of which those from ``n_tokens`` on are 0, so that the rows of a file lie side by side as one
+    matrix; else ``padded_to`` is the length to pad it to when it is loaded. cu_seqlens: 0 and
     the end of each piece; position_resets: where positions start at 0 again; doc_ids and starts:
     which document each piece is from, and how many of that document's ids come before it.
 
     A document is the ids of its whole text (null: empty) and ``end_id``; longer ones are cut into
-    pieces of ``room`` and lose nothing. Copies and repeated doc_ids are all kept, a null doc_id
+    pieces of ``room`` and lose nothing. Of pieces of a length the least doc_id and start come first. Copies and repeated doc_ids are all kept, a null doc_id
     stays null, extra columns are ignored, and an empty table gives an empty one.
     """
     groups = max(1, math.ceil(documents.count() / per_group))
     pieces = with_group(cut_documents(documents, tokenizer, room, end_id, with_ids=True), groups)
     fields = arrow_schema(SEQUENCES)
+    kind = "<u2" if max(vocabulary_size(tokenizer_path(tokenizer)) - 1, end_id) <= 0xFFFF else "<u4"
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_others()
@@ -105,7 +109,6 @@ def packed_matrices(
             rows = []
             for place, members in sorted(bins.items()):
                 members = [i for _, i in sorted(members)]
-                kind = "<u4" if any(wide[i] for i in members) else "<u2"
                 parts = [np.frombuffer(ids[i], "<u4" if wide[i] else "<u2").astype(kind) for i in members]
                 row = np.concatenate(parts)
                 ends = np.cumsum([lengths[i] for i in members]).tolist()
@@ -122,12 +125,21 @@ def packed_matrices(
     # no task with more than some 32 groups; below that the session's own number, which may be merged at run time
     usual = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     most = [math.ceil(groups / 32)] if groups > 32 * usual else []
-    return pieces.repartition(*most, "group").sortWithinPartitions("group", F.desc("length"), "doc_id", "start", "ids_crc32").mapInArrow(pack, SEQUENCES)
+    rows = pieces.repartition(*most, "group").sortWithinPartitions("group", F.desc("length"), "doc_id", "start", "ids_crc32").mapInArrow(pack, SEQUENCES)
+    if padded:
+        rows = rows.withColumn("ids", F.call_function("rpad", "ids", F.lit(room * np.dtype(kind).itemsize), F.lit(b"\0")))
+    return rows
 
 
 def write_matrices(documents: DataFrame, path: str, **options) -> None:
-    """Write the packed sequences as Parquet."""
-    packed_matrices(documents, **options).write.parquet(path)
+    """Write the packed sequences as Parquet, each row padded to the same length and width."""
+    packed_matrices(documents, padded=True, **options).write.parquet(path)
+
+
+def load_matrix(ids: list[bytes], room: int = SEQUENCE_TOKENS) -> np.ndarray:
+    """Padded rows as one (rows, room) matrix."""
+    joined = b"".join(ids)
+    return np.frombuffer(joined, "<u2" if len(joined) == 2 * room * len(ids) else "<u4").reshape(len(ids), room)
 
 
 def position_ids(position_resets: list[int], n_tokens: int) -> np.ndarray:

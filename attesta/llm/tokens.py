@@ -47,6 +47,12 @@ def _latin(word: str) -> bool:
     return word.isascii() or max(word) < "Ā"
 
 
+def vocabulary_size(path: str) -> int:
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
+
+
 class WordEncoder:
     """encode_all(texts) gives each text's ids as little-endian unsigned 32-bit bytes."""
 

@@ -106,6 +106,16 @@ def test_matrices_give_the_documents_back(docs_of, odd, tokenizer):
     assert {k: sorted(v) for k, v in pieces.items()} == {k: sorted(v) for k, v in want.items()}
 
 
+def test_padded_rows_are_one_matrix(docs_of, odd, tmp_path, spark):
+    plain = {r.sequence_id: r for r in token_matrix.packed_matrices(docs_of(odd), room=256, per_group=8).collect()}
+    token_matrix.write_matrices(docs_of(odd), str(tmp_path / "m"), room=256, per_group=8)
+    rows = spark.read.parquet(str(tmp_path / "m")).collect()
+    matrix = token_matrix.load_matrix([r.ids for r in rows], 256)
+    assert matrix.shape == (len(plain), 256) and len({r.id_bytes for r in rows}) == 1
+    for r, line in zip(rows, matrix):
+        assert line[: r.n_tokens].tobytes() == plain[r.sequence_id].ids and not line[r.n_tokens :].any()
+
+
 def test_empty_table(docs_of):
     assert packing.pack_first_fit(docs_of([])).count() == 0
     assert token_matrix.packed_matrices(docs_of([])).count() == 0
