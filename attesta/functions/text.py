@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 DASHES = "‐‑‒–—−－"
 INTERPUNCT_DECIMAL = "([0-9])[·‧⋅∙•]([0-9])"
 NUMBER = "(?<![0-9.])-?(?:[0-9]+\\.[0-9]+|\\.[0-9]+|[0-9]+)(?![0-9])(?!\\.[0-9])"
-#: The most groups of three digits in a number with thousands separators.
-MOST_GROUPS = 6
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -47,19 +45,16 @@ def key_of(c: Column) -> Column:
 
 
 def without_thousands(c: Column) -> Column:
-    """1,234.56 as 1234.56; only groups of exactly three digits, so 0,84 stays. Longest numbers
-    first, because the outcome of a shorter pass could be read as part of a longer one."""
-    for groups in range(MOST_GROUPS, 0, -1):
-        pattern = "(?<![A-Za-z0-9_])([0-9]{1,3})" + ",([0-9]{3})" * groups + "(?![A-Za-z0-9_])"
-        c = F.regexp_replace(c, pattern, "".join(f"${i}" for i in range(1, groups + 2)))
-    return c
+    """1,234.56 as 1234.56, with any number of groups; only groups of exactly three digits, so 0,84
+    stays. A comma goes if up to three digits that begin a word stand before it and exactly three
+    that end one after it; to either of two commas the other is no part of a word."""
+    return F.regexp_replace(c, "(?<![A-Za-z0-9_])([0-9]{1,3}),(?=[0-9]{3}(?![A-Za-z0-9_]))", "$1")
 
 
 def normalize(c: Column) -> Column:
     """Dashes unified, mid-line decimals as points, thousands separators gone, white space collapsed,
     lower case; null as empty. For text that is in NFKC; see ``normalize_frame``."""
     c = F.translate(F.coalesce(c, F.lit("")), DASHES, "-" * len(DASHES))
-    # twice: neighbouring pairs share a digit
     c = F.regexp_replace(c, INTERPUNCT_DECIMAL, "$1.$2")
     return F.lower(collapse(without_thousands(c)))
 
@@ -195,14 +190,14 @@ STOPWORDS = (
 GENERIC_WORDS = "initiative program programme project study effort center centre group lab plan pilot committee".split()
 
 
+#: A suffix that leaves at least four letters. Of those that a word has the one that is tried first
+#: is the longest, which is the one that begins first.
+_SUFFIX = f"(?<=[a-z0-9]{{4}})(?:{'|'.join(STEM_SUFFIXES)})"
+
+
 def stem(word: Column) -> Column:
     """Without the first suffix of the list that leaves at least four letters."""
-    out = None
-    for suffix in STEM_SUFFIXES:
-        fits = word.endswith(suffix) & (F.length(word) - len(suffix) >= 4)
-        short = F.substring(word, F.lit(1), F.length(word) - len(suffix))
-        out = F.when(fits, short) if out is None else out.when(fits, short)
-    return out.otherwise(word)
+    return F.regexp_replace(word, f"(?s)(?<=.{{4}})(?:{'|'.join(STEM_SUFFIXES)})\\z", "")
 
 
 def _stem(word: str) -> str:
@@ -210,20 +205,26 @@ def _stem(word: str) -> str:
 
 
 def significant_tokens(c: Column) -> Column:
-    """array<struct<stem, word>>: the stems that say something, each with its first word."""
+    """array<struct<stem, word>>: the stems that say something, each with its first word.
+
+    The text is stemmed as a whole, by one pattern; equal pairs of stem and word are one before
+    anything is sorted, so the rest of the work is on distinct words."""
     cleaned = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "\\([^)]*\\)", " "), "[^a-z0-9]+", " ")
-    words = F.filter(F.split(cleaned, " "), lambda w: (F.length(w) >= 3) & ~w.rlike("^[0-9]+$"))
-    stemmed = F.transform(words, lambda w: F.struct(stem(w).alias("stem"), w.alias("word")))
+    # words of one or two characters and numbers say nothing
+    cleaned = F.trim(F.regexp_replace(cleaned, "(?<![a-z0-9])(?:[0-9]+|[a-z0-9]{1,2})(?: |$)", ""))
+    stems = F.regexp_replace(cleaned, f"{_SUFFIX}(?= |$)", "")
     stops = sorted({_stem(w) for w in STOPWORDS})
-    telling = F.filter(stemmed, lambda s: ~s["stem"].isin(stops))
+    pairs = F.zip_with(F.split(stems, " "), F.split(cleaned, " "), lambda s, w: F.when((s != "") & ~s.isin(stops), F.concat(s, F.lit(" "), w)))
+    distinct = F.array_distinct(F.array_compact(pairs))
 
     def firsts(found: Column) -> Column:
-        placed = F.array_sort(F.transform(found, lambda s, i: F.struct(s["stem"].alias("stem"), i.alias("at"), s["word"].alias("word"))))
+        part = lambda p, n: F.substring_index(p, " ", n)
+        placed = F.sort_array(F.transform(found, lambda p, i: F.struct(part(p, 1).alias("stem"), i.alias("at"), part(p, -1).alias("word"))))
         heads = let(placed, lambda p: F.filter(p, lambda x, i: ~F.coalesce(F.get(p, i - 1)["stem"] == x["stem"], F.lit(False))))
-        in_order = F.array_sort(F.transform(heads, lambda x: F.struct(x["at"].alias("at"), x["stem"].alias("stem"), x["word"].alias("word"))))
+        in_order = F.sort_array(F.transform(heads, lambda x: F.struct(x["at"].alias("at"), x["stem"].alias("stem"), x["word"].alias("word"))))
         return F.transform(in_order, lambda x: F.struct(x["stem"].alias("stem"), x["word"].alias("word")))
 
-    return let(telling, firsts)
+    return let(distinct, firsts)
 
 
 def core_phrase(label: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..storage import materialize
 
 DEFAULT_FLOOR, PRE_READ_MARGIN = 70, 20
 BATCH = 30
@@ -37,8 +38,9 @@ def pre_read_floor(raw: Column, margin: int = PRE_READ_MARGIN) -> Column:
 
 def batches(candidates: DataFrame, order: list[str], size: int = BATCH) -> DataFrame:
     """Candidates with ``batch``, from 0. The numbering is by rank within range partitions and offsets
-    between them, so that it takes no single-task window."""
-    parts = candidates.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    between them, so that it takes no single-task window. The partitions are written out once, so that
+    ranks and offsets are of the same ones whatever is merged or run again at run time."""
+    parts = materialize(candidates.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "batches")
     sizes = parts.groupBy("_p").count()
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("count").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_p", "_before")
     ranked = parts.withColumn("_n", F.row_number().over(W.partitionBy("_p").orderBy(*order)))

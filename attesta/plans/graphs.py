@@ -212,11 +212,10 @@ def q57_structural_suggestions(spark, sf_dir):
     none, no_tags = F.lit(None).cast("string"), F.array().cast("array<string>")
     tags = F.array(F.concat("source", F.lit("/"), "n_chars"))
     content = documents.select(
-        F.concat(F.lit("d"), "doc_id").alias("id"), F.lit("concept").alias("kind"), F.get(F.split("text", "\n"), F.lit(0)).alias("label"), "text", none.alias("desc"), tags.alias("tags"), F.col("doc_id").alias("pos")
+        F.concat(F.lit("d"), "doc_id").alias("id"), F.lit("concept").alias("kind"), F.col("text").alias("label"), "text", none.alias("desc"), tags.alias("tags"), F.col("doc_id").alias("pos")
     )
-    label = F.array_join(F.slice(F.split("text", " "), 1, 4), " ")
     anchors = table(spark, sf_dir, "benchmark").select(
-        F.concat(F.lit("a"), "item_id").alias("id"), F.lit("project").alias("kind"), label.alias("label"), none.alias("text"), none.alias("desc"), no_tags.alias("tags"), (F.col("item_id") - (1 << 40)).alias("pos")
+        F.concat(F.lit("a"), "item_id").alias("id"), F.lit("project").alias("kind"), F.col("text").alias("label"), none.alias("text"), none.alias("desc"), no_tags.alias("tags"), (F.col("item_id") - (1 << 40)).alias("pos")
     )
     edges = spark.createDataFrame([], "id string, source string, target string, origin string, pos long")
     out = graph.structural_suggestions(content.unionByName(anchors), edges)

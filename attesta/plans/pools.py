@@ -217,7 +217,7 @@ def q70_digest_run(spark, sf_dir):
     heads = documents.select(number.alias("topic_idx"), F.col("source").alias("label"), F.lit(40).alias("asked"), none("string").alias("error")).distinct()
     seen = documents.where("doc_id % 10 = 0").select(id.alias("id"), F.lit("2024-01-01").alias("first_seen"))
     cited = documents.select(
-        id.alias("pmid"), none("string").alias("url"), none("string").alias("author"), F.lit("2024").alias("year"), F.col("source").alias("journal"), F.substring("text", 1, 60).alias("title"),
+        id.alias("pmid"), none("string").alias("url"), none("string").alias("author"), F.lit("2024").alias("year"), F.col("source").alias("journal"), F.get(F.split("text", "\n"), F.lit(0)).alias("title"),
         none("string").alias("doi"), none("array<string>").alias("pubtypes"), (F.col("doc_id") % 7 == 0).alias("retracted"), F.lit(True).alias("verified"),
     )
     registry = none(schemas.CLAIM.rpartition("registry ")[2])

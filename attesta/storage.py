@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is named (tests)."""
+    """The shared folder that the cluster names. Only where driver and executors are one process, as
+    in tests, a folder of our own is made if none is named; elsewhere that is an error, because the
+    executors could not read what the driver's machine holds."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="attesta-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")

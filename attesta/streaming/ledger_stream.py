@@ -27,12 +27,14 @@ def counts_by_window(stream: DataFrame, width: str = "1 day", watermark: str = "
     return stream.withWatermark("at", watermark).groupBy(w, "type").agg(F.count("*").alias("n"), F.approx_count_distinct("id").alias("ids")).select(F.col("window.start").alias("start"), "type", "n", "ids")
 
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-        return spark.read.schema(schema).parquet(path)
-    return spark.createDataFrame([], schema)
+def _version(spark: SparkSession, folder: str, number: int, schema: str) -> DataFrame:
+    """A version of a table kept as numbered folders; an error if it is not there as a whole, for an
+    empty table in its place would lose all that the versions before had gathered."""
+    path = f"{folder}/v{number}"
+    mark = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    if not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+        raise RuntimeError(f"{path} is missing or incomplete; the ledger can't be continued without it")
+    return spark.read.schema(schema).parquet(path)
 
 
 def _current(spark: SparkSession, folder: str, schema: str) -> tuple[DataFrame, int]:
@@ -46,7 +48,7 @@ def _current(spark: SparkSession, folder: str, schema: str) -> tuple[DataFrame,
             name = status.getPath().getName()
             if name.startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
                 done = max(done, int(name[1:]))
-    return (_read(spark, f"{folder}/v{done}", schema) if done >= 0 else spark.createDataFrame([], schema)), done
+    return (_version(spark, folder, done, schema) if done >= 0 else spark.createDataFrame([], schema)), done
 
 
 def current_ledger(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,12 +59,13 @@ def keep_ledger(stream: DataFrame, folder: str, checkpoint: str, stamp: Callable
     """Merge a stream of (id) into the ledger in ``folder``, bounded to its newest entries.
 
     Each micro-batch writes the next version of the ledger as a whole, named after the batch: a batch
-    that is run again after a crash overwrites its own version only, and merging is idempotent.
+    that is run again after a crash overwrites its own version only, and merging is idempotent. A
+    batch whose predecessor's version is lost fails instead of starting afresh.
     """
     spark = stream.sparkSession
 
     def merge(batch: DataFrame, number: int) -> None:
-        base = _read(spark, f"{folder}/v{number - 1}", "id string, first_seen string") if number else spark.createDataFrame([], "id string, first_seen string")
+        base = _version(spark, folder, number - 1, "id string, first_seen string") if number else spark.createDataFrame([], "id string, first_seen string")
         L.cap_ledger(L.merge_seen(base, batch.select("id"), stamp(number)), capacity).write.mode("overwrite").parquet(f"{folder}/v{number}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
