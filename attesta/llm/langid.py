@@ -33,7 +33,7 @@ EMBEDDING, HIDDEN, SEED = 12, 16, 7
 TRAIN_STRETCH, BATCH, EPOCHS, LEAST_STEPS, RATE = 64, 256, 2, 120, 0.02
 #: Bytes that are read in one go, bytes that a state is guessed from, and how much of a state may
 #: differ from the neighbour's. They set the work and the memory, not the labels.
-STRETCH, CONTEXT, SETTLED = 512, 64, 1e-3
+STRETCH, CONTEXT, SETTLED = 768, 160, 1e-3
 #: Stretches that go through the network together, and bytes of texts that are held at a time.
 AT_ONCE, BYTES_AT_ONCE = 1024, 4_000_000
 #: Below this probability a document counts as rejected by the filter.
@@ -55,7 +55,8 @@ def _slope(y: np.ndarray) -> np.ndarray:
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=-1, keepdims=True))
+    x = x - x.max(axis=-1, keepdims=True)
+    np.exp(x, out=x)
     x /= x.sum(axis=-1, keepdims=True)
     return x
 
@@ -191,9 +192,10 @@ class ByteGru:
             for d in states:
                 ends[d][some] = self._read(codes, active, states[d][some], d, logits)
             if label:
-                p = _softmax(logits)
-                p *= (np.arange(longest)[:, None] < sizes[some])[:, :, None]
-                sums[some] = p.sum(axis=0)
+                for a in range(0, longest, 64):
+                    p = _softmax(logits[a : a + 64])
+                    p *= (np.arange(a, min(a + 64, longest))[:, None] < sizes[some])[:, :, None]
+                    sums[some] += p.sum(axis=0)
         return sums, ends
 
     def label_runs(self, runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -359,7 +361,7 @@ def identify(documents: DataFrame, net: ByteGru | None = None) -> DataFrame:
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_others()
-        for part in parts(batches):
+        for part in parts(batches, 512):
             found = list(pooled(sent.value, part.column(1).to_pylist()))
             if found:
                 yield arrow_batch([part.column(0), *zip(*found)], fields)
@@ -381,7 +383,7 @@ def keep_identified(documents: DataFrame, least_score: float = LEAST_SCORE) -> D
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_others()
         net, script = sent.value
-        for part in parts(batches):
+        for part in parts(batches, 512):
             texts = part.column(text_at).to_pylist()
             runs = [bytes_of(t) for t in texts]
             found = pooled(net, texts, runs)
