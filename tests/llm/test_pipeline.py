@@ -70,3 +70,16 @@ def test_queries_run_and_have_their_columns(spark):
         assert df.columns == columns
     assert all(len(r.fingerprint) == 16 for r in queries.op7_simhash(spark, DATA).limit(5).collect())
     assert langid.UNDETERMINED == "und" and line_dedup.MIN_DOCUMENTS == 5
+
+
+def test_stages_take_odd_tables(spark, docs_of, odd):
+    docs = docs_of(odd)
+    for name, stage in corpus_pipeline.STAGES:
+        for table in (docs, docs.limit(0)):
+            out = stage(spark, table, DATA)
+            rows = out.collect()
+            assert name == "packing" or out.columns == docs.columns
+            if name == "line_dedup":
+                assert len(rows) == table.count() and all(r.text is not None and r.n_chars == len(r.text) for r in rows)
+            if name == "benchmark_decontamination":
+                assert len(rows) == table.count()

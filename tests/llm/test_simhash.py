@@ -106,3 +106,21 @@ def test_blocks_cover_every_close_pair():
             assert any(not x & m for m in masks)
             assert all(any(not x & f & ~m for f in S.finer_masks(m)) for m in masks[:2])
     assert np.uint64(S._signed(1 << 63) % 2**64) == np.uint64(1 << 63)
+
+
+def test_long_text_against_plain_python(odd):
+    longest = max((t for _, t in odd if t), key=len)
+    assert len(longest.split()) > 3 * 4096 and S.fingerprint_of(longest) == plain_fingerprint(longest)
+
+
+def test_clashing_columns_stay(docs_of):
+    from pyspark.sql import functions as F
+
+    names = ("__fp", "__id", "__row", "__of", "__is", "__once", "doc", "component_id", "chosen", "n")
+    docs = docs_of([(1, "one text of some words"), (2, "one text of some words"), (2, "one text of some words"), (3, None)])
+    for name in names:
+        docs = docs.withColumn(name, F.lit("mine"))
+    kept = S.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+    assert all(r[name] == "mine" for r in kept.collect() for name in names)
+    assert S.drop_near_duplicates(docs.limit(0)).count() == 0
