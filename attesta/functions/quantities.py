@@ -40,9 +40,10 @@ def p_operator(quote: Column, p: Column) -> Column:
         labelled = F.filter(number_tokens(q), lambda t: numbers_equal(t["value"], p) & _before(q, t["start"]).rlike(P_LABEL))
         return F.when(F.size(labelled) > 0, F.regexp_extract(_before(q, F.get(labelled, F.lit(0))["start"]), P_LABEL, 1))
 
-    raw = let(normalize(quote), find)
+    # no P value, no search
+    raw = F.when(p.isNotNull(), let(normalize(quote), find))
     table = F.create_map(*(F.lit(x) for pair in OPERATORS.items() for x in pair))
-    return F.when(p.isNotNull(), F.try_element_at(table, F.coalesce(raw, F.lit(""))))
+    return F.try_element_at(table, F.coalesce(raw, F.lit("")))
 
 
 def printed_tokens(quote: Column) -> Column:

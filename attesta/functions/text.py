@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 # Dash variants, decimal points in mid-line, and the grammar of a number.
 DASHES = "‐‑‒–—−－"
 INTERPUNCT_DECIMAL = "([0-9])[·‧⋅∙•]([0-9])"
-NUMBER = "(?<![0-9.])-?(?:[0-9]+\\.[0-9]+|\\.[0-9]+|[0-9]+)(?![0-9])(?!\\.[0-9])"
+NUMBER = "(?=[-.0-9])(?<![0-9.])-?(?:[0-9]+\\.[0-9]+|\\.[0-9]+|[0-9]+)(?![0-9])(?!\\.[0-9])"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -48,15 +48,25 @@ def without_thousands(c: Column) -> Column:
     """1,234.56 as 1234.56, with any number of groups; only groups of exactly three digits, so 0,84
     stays. A comma goes if up to three digits that begin a word stand before it and exactly three
     that end one after it; to either of two commas the other is no part of a word."""
-    return F.regexp_replace(c, "(?<![A-Za-z0-9_])([0-9]{1,3}),(?=[0-9]{3}(?![A-Za-z0-9_]))", "$1")
+    return F.regexp_replace(c, "(?=[0-9])(?<![A-Za-z0-9_])([0-9]{1,3}),(?=[0-9]{3}(?![A-Za-z0-9_]))", "$1")
 
 
 def normalize(c: Column) -> Column:
     """Dashes unified, mid-line decimals as points, thousands separators gone, white space collapsed,
     lower case; null as empty. For text that is in NFKC; see ``normalize_frame``."""
-    c = F.translate(F.coalesce(c, F.lit("")), DASHES, "-" * len(DASHES))
-    c = F.regexp_replace(c, INTERPUNCT_DECIMAL, "$1.$2")
-    return F.lower(collapse(without_thousands(c)))
+    c = F.coalesce(c, F.lit(""))
+    unified = F.regexp_replace(F.translate(c, DASHES, "-" * len(DASHES)), INTERPUNCT_DECIMAL, "$1.$2")
+    # only text beyond ASCII has other dashes and points
+    return F.lower(collapse(without_thousands(F.when(_beyond_ascii(c), unified).otherwise(c))))
+
+
+def _normalize_ascii(c: Column) -> Column:
+    white = F.regexp_replace(without_thousands(F.coalesce(c, F.lit(""))), "\\s+", " ")
+    return F.lower(F.trim(white))
+
+
+def _beyond_ascii(c: Column) -> Column:
+    return c.rlike("[^\\x00-\\x7F]")
 
 
 def _form(form: str):
@@ -75,9 +85,9 @@ def normalize_frame(df: DataFrame, **columns: str) -> DataFrame:
     one of these is not ASCII."""
     beyond = F.lit(False)
     for column in columns.values():
-        beyond = beyond | F.coalesce(F.col(column).rlike("[^\\x00-\\x7F]"), F.lit(False))
+        beyond = beyond | F.coalesce(_beyond_ascii(F.col(column)), F.lit(False))
     plain, other = df.where(~beyond), df.where(beyond)
-    return plain.withColumns({out: normalize(F.col(c)) for out, c in columns.items()}).unionByName(
+    return plain.withColumns({out: _normalize_ascii(F.col(c)) for out, c in columns.items()}).unionByName(
         other.withColumns({out: normalize(in_form(F.col(c))) for out, c in columns.items()})
     )
 
@@ -124,9 +134,33 @@ def any_equal(values: Column, target: Column) -> Column:
 
 
 def numbers_in_span(c: Column, start: Column, stop: Column) -> Column:
-    """The numbers that lie wholly within [start, stop)."""
-    inside = F.filter(number_tokens(c), lambda t: (t["start"] >= start) & (t["stop"] <= stop))
-    return F.transform(inside, lambda t: t["value"])
+    """The numbers that lie wholly within [start, stop).
+
+    A number's grammar sees two characters to either side, so the span is cut out with these. Then only
+    the first two matches can begin before the span, and only the last two end behind it."""
+    before = F.least(start, F.lit(2))
+    cut = F.substring(c, start - before + 1, stop - start + before + 2)
+
+    def inside(at: Column) -> Column:
+        found, gaps, n = at["found"], at["gaps"], F.size(at["found"])
+        size = lambda array, i: F.length(F.get(array, i))
+        first = size(gaps, F.lit(0))
+        second = first + size(found, F.lit(0)) + size(gaps, F.lit(1))
+        last = at["size"] - size(gaps, n)
+        next_to_last = last - size(found, n - 1) - size(gaps, n - 1)
+
+        def fits(_: Column, i: Column) -> Column:
+            begins = F.when(i == 0, first >= at["before"]).when(i == 1, second >= at["before"]).otherwise(True)
+            ends = F.when(i == n - 1, last <= at["stop"]).when(i == n - 2, next_to_last <= at["stop"]).otherwise(True)
+            return begins & ends
+
+        return F.transform(F.filter(found, fits), lambda t: t.cast("double"))
+
+    parts = let(cut, lambda t: F.struct(
+        F.regexp_extract_all(t, F.lit(NUMBER), F.lit(0)).alias("found"), F.split(t, NUMBER, -1).alias("gaps"), F.length(t).alias("size"),
+        before.alias("before"), (stop - start + before).alias("stop"),
+    ))
+    return let(parts, inside)
 
 
 def alnum(c: Column) -> Column:

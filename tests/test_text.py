@@ -89,3 +89,24 @@ def test_truncate(values):
     words = "word " * 40
     got = values(short=X.truncate(L("x")), cut=X.truncate(L(words)), solid=X.truncate(L("y" * 200)))
     assert got["short"] == "x" and got["cut"] == ("word " * 28).strip() + "…" and got["solid"] == "y" * 140 + "…"
+
+
+def test_numbers_in_span_as_in_the_whole_text(spark):
+    rng = random.Random(1)
+    rows = []
+    for i in range(2000):
+        t = "".join(rng.choice("12..--  a,") for _ in range(rng.randint(0, 16)))
+        start = rng.randint(0, len(t))
+        rows.append((i, t, start, rng.randint(start, len(t))))
+    number = re.compile(r"(?<![0-9.])-?(?:[0-9]+\.[0-9]+|\.[0-9]+|[0-9]+)(?![0-9])(?!\.[0-9])")
+    df = spark.createDataFrame(rows, "i int, t string, a int, b int").orderBy("i")
+    got = [r.x for r in df.select(X.numbers_in_span(F.col("t"), F.col("a"), F.col("b")).alias("x")).collect()]
+    assert got == [[float(m[0]) for m in number.finditer(t) if m.start() >= a and m.end() <= b] for _, t, a, b in rows]
+
+
+def test_every_white_space_is_one_space(spark):
+    spaces = [chr(c) for c in range(0x3100) if re.fullmatch(r"\s", chr(c)) and not 0x1C <= c <= 0x1F]
+    rng = random.Random(2)
+    texts = [f"a{s}b" for s in spaces] + ["".join(rng.choice([*spaces, " ", " ", "x", "y"]) for _ in range(12)) for _ in range(500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i")
+    assert [r.x for r in df.select(X.collapse(F.col("t")).alias("x")).collect()] == [" ".join(re.split(f"[{''.join(spaces)}]+", t)).strip(" ") for t in texts]
