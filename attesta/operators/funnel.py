@@ -121,6 +121,22 @@ def post_read_floor(results: DataFrame, rankings: DataFrame, floor: int = DEFAUL
     return kept.select(*results.columns, F.row_number().over(W.orderBy(failed, "idx")).alias("place"))
 
 
+def with_forced(shown: DataFrame, results: DataFrame, forced: DataFrame) -> DataFrame:
+    """What is shown (…, place) and then, in the order of idx, the results that were asked for by id
+    (``forced``) though they miss the floor: never those with an error, nor retracted ones."""
+    more = results.where(F.col("error").isNull() & ~F.coalesce("retracted", F.lit(False))).join(forced.select("id"), "id", "left_semi").join(shown.select("id"), "id", "left_anti")
+    rows = shown.unionByName(more.withColumn("place", F.lit(None).cast("int")))
+    return rows.withColumn("place", F.row_number().over(W.orderBy(F.col("place").asc_nulls_last(), "idx")))
+
+
+def digest_order(results: DataFrame, rankings: DataFrame) -> DataFrame:
+    """Results (id, idx, …) with ``place``: the best score after reading first, those without one last;
+    ties as they came."""
+    scores = rankings.groupBy("id").agg(F.max(as_score(F.col("score"))).alias("_score"))
+    joined = results.join(scores, "id", "left")
+    return joined.withColumn("place", F.row_number().over(W.orderBy(F.desc(F.coalesce("_score", F.lit(-1.0))), "idx"))).drop("_score")
+
+
 def post_read_counts(results: DataFrame, rankings: DataFrame, floor: int = DEFAULT_FLOOR) -> DataFrame:
     """One row: total read without error, cleared, excluded."""
     ranked = rankings.groupBy("id").agg(F.max(F.coalesce(as_score(F.col("score")), F.lit(0.0))).alias("s"))

@@ -106,6 +106,16 @@ def focus_and_shelf(papers: DataFrame, now: Column, days: int = 7) -> DataFrame:
     return papers.withColumn("focus", recent if any_recent else F.lit(True))
 
 
+def by_title(papers: DataFrame) -> DataFrame:
+    """Papers in the order of their titles, as a dictionary has them; a missing title is empty."""
+    return papers.orderBy(F.collate(F.coalesce("title", F.lit("")), "UNICODE"), "id")
+
+
+def without_tag(rows: DataFrame, id: str, tag: str) -> DataFrame:
+    """Papers or concepts, one of them without a tag."""
+    return rows.withColumn("tags", F.when(F.col("id") == id, F.array_remove("tags", tag)).otherwise(F.col("tags")))
+
+
 def favorites(papers: DataFrame) -> DataFrame:
     return papers.where(F.coalesce("favorite", F.lit(False)))
 

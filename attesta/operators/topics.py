@@ -176,6 +176,43 @@ def topics_from_stars(stars: DataFrame) -> DataFrame:
     return normalize_topics(stars.select("list_id", "pos", *(none.alias(n) for n in ("label", "topic", "name", "query", "term", "q")), F.col("star").alias("text")))
 
 
+#: Fixed value: what is searched if a profile names nothing.
+FALLBACK = ("Vascular surgery", "vascular surgery")
+
+
+def profile_topics(profiles: DataFrame, raw: DataFrame, stars: DataFrame) -> DataFrame:
+    """list_id, pos, label, query for every profile (list_id): its own topics (as for
+    ``normalize_topics``), else those made of its interests, else the fallback."""
+    own = normalize_topics(raw.join(profiles.select("list_id"), "list_id", "left_semi"))
+    derived = topics_from_stars(stars.join(profiles.select("list_id"), "list_id", "left_semi")).join(own.select("list_id").distinct(), "list_id", "left_anti")
+    some = own.unionByName(derived)
+    rest = profiles.select("list_id").distinct().join(some.select("list_id").distinct(), "list_id", "left_anti")
+    kind = own.schema["pos"].dataType
+    return some.unionByName(rest.select("list_id", F.lit(0).cast(kind).alias("pos"), F.lit(FALLBACK[0]).alias("label"), F.lit(FALLBACK[1]).alias("query")))
+
+
+def set_row(rows: Column, at: Column, label: Column | None = None, query: Column | None = None) -> Column:
+    """A list of topics, array<struct<label, query>>, with the fields given changed in the row ``at``."""
+    new = lambda field, old: old if field is None else field
+    return F.transform(rows, lambda t, i: F.when(i == at, F.struct(new(label, t["label"]).alias("label"), new(query, t["query"]).alias("query"))).otherwise(t))
+
+
+def remove_row(rows: Column, at: Column) -> Column:
+    return F.filter(rows, lambda _, i: i != at)
+
+
+def add_row(rows: Column) -> Column:
+    """With an empty row at the end."""
+    return F.concat(rows, F.array(F.struct(F.lit("").alias("label"), F.lit("").alias("query"))))
+
+
+def apply_paste(current: DataFrame, pasted: DataFrame) -> DataFrame:
+    """Topics (list_id, pos, label, query): of each list those of its pasted text (list_id, text), if any
+    can be read from it, else those it has."""
+    read = parse_topics_text(pasted)
+    return current.join(read.select("list_id").distinct(), "list_id", "left_anti").unionByName(read.withColumn("pos", F.col("pos").cast(current.schema["pos"].dataType)).select(*current.columns))
+
+
 def preview(results: DataFrame, topics: DataFrame, limit: int = 10) -> DataFrame:
     """A few distinct results, round the topics, each under the first topic that reached it."""
     none = results.sparkSession.createDataFrame([], "id string")

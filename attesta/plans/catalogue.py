@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import evidence, graphs, libraries, pools, texts  # noqa: F401  they register their queries
+from . import evidence, graphs, libraries, pools, shelves, texts  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES, Query
 
 
