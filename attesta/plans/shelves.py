@@ -6,15 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import digests, domains, funnel, graph, kv, library, projects, shelving, topics
+from ..operators import domains, funnel, graph, kv, library, projects, shelving, topics
 from .libraries import _library
 from .registry import query, table
 
-_NONE = "string"
 
-
-def _null(kind: str = _NONE):
-    return F.lit(None).cast(kind)
+def _null():
+    return F.lit(None).cast("string")
 
 
 def _nodes(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -253,10 +251,8 @@ def q92_rail_counts(spark, sf_dir):
     return library.rail_counts(table(spark, sf_dir, "customer").select(F.when(k % 3 == 1, "flagged").when(k % 3 == 2, "verified-full-text").alias("tier")))
 
 
-@query("""SELECT 'u' || user_id AS user_id, event_id AS key FROM events WHERE user_id % 3 <> 0 AND NOT (event_type = 'view' AND event_id % 2 = 0)""")
+@query("""SELECT 'u' || user_id AS user_id, event_id AS key FROM events WHERE user_id <> 7 AND NOT (event_type = 'view' AND event_id % 2 = 0)""")
 def q93_store_deletes(spark, sf_dir):
-    """Of each user's rows those of one collection and key are deleted; a third of the users start over."""
-    user = F.col("user_id")
-    rows = table(spark, sf_dir, "events").select(F.concat(F.lit("u"), user).alias("user_id"), F.col("event_type").alias("collection"), F.when(F.col("event_id") % 2 == 0, "even").otherwise("odd").alias("key"), "event_id", (user % 3).alias("third"))
-    left = kv.delete(rows, "view", "even")
-    return left.where("third <> 0").select("user_id", F.col("event_id").alias("key"))
+    """A key of a collection is deleted, and one user starts over."""
+    rows = table(spark, sf_dir, "events").select(F.concat(F.lit("u"), "user_id").alias("user_id"), F.col("event_type").alias("collection"), F.when(F.col("event_id") % 2 == 0, "even").otherwise("odd").alias("key"), "event_id")
+    return kv.clear_user(kv.delete(rows, "view", "even"), "u7").select("user_id", F.col("event_id").alias("key"))
