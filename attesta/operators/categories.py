@@ -40,8 +40,10 @@ def cap_categories(categories: DataFrame, cap: int = CATEGORY_CAP) -> DataFrame:
 
 
 def first_assignment(members: DataFrame) -> DataFrame:
-    """Members (shelf, shelf_pos, member, member_pos), each on the first shelf that names it."""
-    return members.groupBy("member").agg(F.min_by("shelf", F.struct("shelf_pos", "member_pos")).alias("shelf"))
+    """Members (shelf, shelf_pos, member, member_pos), each on the first shelf that names it; a null is no
+    shelf, and a member with nothing else stays with null."""
+    at = F.when(F.col("shelf").isNotNull(), F.struct("shelf_pos", "member_pos"))
+    return members.groupBy("member").agg(F.min_by("shelf", at).alias("shelf"))
 
 
 @dataclass
